@@ -36,7 +36,7 @@ def list_plans(t) -> DataFrame:
 def active_subscription(t) -> DataFrame:
     """Newest 'active' row per user (by created_at, then id) with its plan's
     entitlement columns.  Expiry is not checked."""
-    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc_nulls_last(),
+    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc_nulls_first(),
                                               F.col("subscription_id").desc())
     latest = (t.user_subscription.filter(F.col("status") == "active")
               .withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))

@@ -1,3 +1,4 @@
 """Import every catalogue module so that all queries are registered."""
 
 from chainlens.plans import catalog  # noqa: F401
+from chainlens.plans import catalog2  # noqa: F401

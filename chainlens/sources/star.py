@@ -304,7 +304,9 @@ class StarMapping:
         names = ["company", "supplier", "product", "warehouse", "inventory", "shipment", "orders",
                  "risk_event", "app_user", "subscription_plan", "user_subscription", "order_request",
                  "inventory_change", "shipment_change", "risk_resolution", "payment", "conversations"]
-        return Tables(self.spark, {n: getattr(self, n) for n in names}, as_of)
+        t = Tables(self.spark, {n: getattr(self, n) for n in names}, as_of)
+        t.raw = self.raw
+        return t
 
 
 def star_to_domain(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> Tables:
