@@ -191,4 +191,6 @@ def with_mapping(sql: str, extra: dict[str, str] | None = None) -> str:
             visit(d)
     ctes = [f"{n} AS ({MAPPING[n].strip()})" for n in order]
     ctes += [f"{n} AS ({b.strip()})" for n, b in extra.items()]
-    return ("WITH " + ",\n".join(ctes) + "\n" + sql.strip()) if ctes else sql.strip()
+    recursive = any(re.search(rf"\b{re.escape(n)}\b", b) for n, b in extra.items())
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return (head + ",\n".join(ctes) + "\n" + sql.strip()) if ctes else sql.strip()
