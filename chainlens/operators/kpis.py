@@ -20,8 +20,20 @@ KPI_COLS = ["total_companies", "total_suppliers", "total_products", "total_wareh
             "total_shipments", "low_inventory_alerts", "delayed_shipment_alerts", "open_risks"]
 
 
-def _one_row(df: DataFrame, **aggs) -> DataFrame:
-    return df.agg(*[c.alias(n) for n, c in aggs.items()])
+
+def _scalar(df: DataFrame, agg) -> F.Column:
+    """A single aggregate of ``df`` as a scalar subquery (computed once, no join)."""
+    return df.agg(agg).scalar()
+
+
+def _count(df: DataFrame, cond=None) -> F.Column:
+    return _scalar(df, F.count(F.lit(1)) if cond is None else F.count_if(cond))
+
+
+def _single_row(t, **cols) -> DataFrame:
+    """One row of scalar subqueries; conditional counts over one table share a scan
+    (MergeScalarSubqueries), and no 1 × 1 cross join is planned."""
+    return t.spark.range(1).select(*[c.alias(n) for n, c in cols.items()])
 
 
 def kpi_summary(t, as_of=None) -> DataFrame:
@@ -30,19 +42,13 @@ def kpi_summary(t, as_of=None) -> DataFrame:
     Differently filtered counts over one table are one conditional aggregate (one
     scan); the per-table single-row results are cross-joined (1 × 1 rows)."""
     as_of = as_of if as_of is not None else t.as_of
-    one = F.lit(1)
-    parts = [
-        _one_row(t.company, total_companies=F.count(one)),
-        _one_row(t.supplier, total_suppliers=F.count(one)),
-        _one_row(t.product, total_products=F.count(one)),
-        _one_row(t.warehouse, total_warehouses=F.count(one)),
-        _one_row(t.orders, total_orders=F.count(one)),
-        _one_row(t.shipment, total_shipments=F.count(one),
-                 delayed_shipment_alerts=F.count_if(is_overdue(as_of))),
-        _one_row(t.inventory, low_inventory_alerts=F.count_if(is_low_stock())),
-        _one_row(t.risk_event, open_risks=F.count_if(is_open())),
-    ]
-    return reduce(lambda a, b: a.crossJoin(b), parts).select(*KPI_COLS)
+    return _single_row(
+        t, total_companies=_count(t.company), total_suppliers=_count(t.supplier),
+        total_products=_count(t.product), total_warehouses=_count(t.warehouse),
+        total_orders=_count(t.orders), total_shipments=_count(t.shipment),
+        low_inventory_alerts=_count(t.inventory, is_low_stock()),
+        delayed_shipment_alerts=_count(t.shipment, is_overdue(as_of)),
+        open_risks=_count(t.risk_event, is_open())).select(*KPI_COLS)
 
 
 def _per_supplier_shipments(t, as_of) -> DataFrame:
@@ -90,17 +96,16 @@ def kpi_by_company(t, as_of=None) -> DataFrame:
     orders = t.orders.groupBy("company_id").agg(F.count(F.lit(1)).alias("n_orders"))
     risks = (risks_by_company(t).filter(is_open()).groupBy("company_id")
              .agg(F.count(F.lit(1)).alias("n_open_scoped")))
-    glob = _one_row(t.warehouse, total_warehouses=F.count(F.lit(1))).crossJoin(
-        _one_row(t.risk_event, open_risks=F.count_if(is_open())))
     c = t.company.select("company_id")
     x = reduce(lambda a, b: a.join(b, "company_id", "left"), [c, sup, prod, orders, ship, inv, risks])
     x = _zero(x, ["n_sup", "n_products", "n_orders", "n_ship", "n_overdue", "n_low", "n_open_scoped"])
-    return x.crossJoin(glob).select(
+    return x.select(
         "company_id", F.lit(1).cast("bigint").alias("total_companies"),
         F.col("n_sup").alias("total_suppliers"), F.col("n_products").alias("total_products"),
-        "total_warehouses", F.col("n_orders").alias("total_orders"),
+        _count(t.warehouse).alias("total_warehouses"), F.col("n_orders").alias("total_orders"),
         F.col("n_ship").alias("total_shipments"), F.col("n_low").alias("low_inventory_alerts"),
-        F.col("n_overdue").alias("delayed_shipment_alerts"), "open_risks",
+        F.col("n_overdue").alias("delayed_shipment_alerts"),
+        _count(t.risk_event, is_open()).alias("open_risks"),
         F.col("n_open_scoped").alias("open_risks_scoped"))
 
 
@@ -235,13 +240,9 @@ def pipeline_stages(t, cid=ALL, as_of=None, status=None, q=None) -> DataFrame:
     inv_low = scope(t.inventory.filter(is_low_stock()).join(t.product.select("product_id", "supplier_id"),
                                                             "product_id").join(ps, "supplier_id"), cid)
     overdue = scope(t.shipment.filter(is_overdue(as_of)).join(ps, "supplier_id"), cid)
-    one = F.lit(1)
-    counts = reduce(lambda a, b: a.crossJoin(b), [
-        _one_row(comp, companies=F.count(one)), _one_row(sup, suppliers=F.count(one)),
-        _one_row(prod, products=F.count(one)), _one_row(t.warehouse, warehouses=F.count(one)),
-        _one_row(ship, shipments=F.count(one)), _one_row(inv_low, low=F.count(one)),
-        _one_row(overdue, late=F.count(one))])
-    z = F.lit(0).cast("bigint")
+    counts = _single_row(t, companies=_count(comp), suppliers=_count(sup), products=_count(prod),
+                         warehouses=_count(t.warehouse), shipments=_count(ship), low=_count(inv_low),
+                         late=_count(overdue))
     return counts.select(F.expr(
         "stack(5,"
         " 1, 'companies', companies, companies, 0L, 0L,"
@@ -265,11 +266,8 @@ def alert_counts(t, as_of=None, cid=ALL, status=None, severity=None, q=None) ->
         .filter(search(q, "product_name", "company_name"))
     rk = (risks.filter(value_in("risk_severity", severity)).filter(value_in("resolution_status", status))
           .filter(search(q, "description", "risk_type")))
-    one = F.lit(1)
-    return reduce(lambda a, b: a.crossJoin(b), [
-        _one_row(low, low_stock=F.count(one)), _one_row(late, delayed=F.count(one)),
-        _one_row(orders, orders=F.count(one)),
-        _one_row(rk, risks=F.count(one), open_risks=F.count_if(is_open()))])
+    return _single_row(t, low_stock=_count(low), delayed=_count(late), orders=_count(orders),
+                       risks=_count(rk), open_risks=_count(rk, is_open()))
 
 
 # Fixed message texts of the dashboard insight banners.

@@ -47,9 +47,10 @@ def active_subscription(t) -> DataFrame:
 def assign_default_plan(t) -> DataFrame:
     """A Starter row (amount 0, no expiry) for every user with no active row."""
     active = t.user_subscription.filter(F.col("status") == "active").select("user_id")
-    starter = t.subscription_plan.filter(F.col("plan_name") == STARTER_PLAN).select("plan_id")
+    # plan_name is unique, so this is at most one id: a scalar subquery, not a join
+    starter = t.subscription_plan.filter(F.col("plan_name") == STARTER_PLAN).agg(F.min("plan_id")).scalar()
     users = t.app_user.select("user_id").join(active, "user_id", "left_anti")
-    return users.crossJoin(starter).select(
+    return users.select("user_id", starter.alias("plan_id")).filter(F.col("plan_id").isNotNull()).select(
         "user_id", "plan_id", F.lit("active").alias("status"),
         F.lit(0).cast("decimal(10,2)").alias("amount_paid"),
         F.lit(None).cast("timestamp_ntz").alias("expires_at"))
