@@ -4,4 +4,14 @@ Every operator takes a :class:`chainlens.sources.tables.Tables` bundle (lazy dom
 DataFrames) and returns a DataFrame; nothing is collected to the driver.
 """
 
+import sys as _sys
+
 __version__ = "0.1.0"
+
+# The few Python callbacks (the allocation fold, the state-machine processor) are
+# shipped to executors by value, so workers need no installed copy of this package.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older pyspark without by-value registration
+    pass

@@ -79,7 +79,7 @@ def initial_open_counts(risks: DataFrame) -> DataFrame:
 
 
 def run_risk_state_stream(spark: SparkSession, events: DataFrame, initial: DataFrame, as_of,
-                          n_files: int = 4) -> DataFrame:
+                          n_files: int = 2, state_partitions: int | None = None) -> DataFrame:
     """Write ``events`` as a key-partitioned change log, run the stateful stream over it
     to completion (``availableNow``), and return the emitted risks as a batch frame."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -94,8 +94,17 @@ def run_risk_state_stream(spark: SparkSession, events: DataFrame, initial: DataF
               .groupBy(*KEY)
               .transformWithStateInPandas(RiskStateProcessor(), OUT_SCHEMA, "append", "None",
                                           initialState=init_df.groupBy(*KEY)))
-    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
+    # The number of state partitions is fixed by the shuffle-partition setting when the
+    # query first starts (and recorded in the checkpoint).  Size it to the cluster's
+    # parallelism rather than a batch-tuned value, then restore the session setting.
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+             .outputMode("append").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, previous)
     q.awaitTermination()
     res = spark.read.schema(OUT_SCHEMA).parquet(out)
     return res.select("seq", *KEY, "risk_severity", as_of_lit(as_of).alias("detected_date"), "description",
