@@ -246,25 +246,41 @@ class StarMapping:
 
         The first line of a row is its insert and carries no OLD values; it is not
         an update, so it is not part of the change log.
+
+        The running sum is a two-level prefix sum so that no stock row's lines must sit
+        in one task: each (row, ship month) chunk is numbered and summed locally, and a
+        per-row window over its (at most a few hundred) chunks gives every chunk its
+        offset.  A stock row holding a third of all lines is thus spread over its months.
         """
         lines = self._lines_with_region("l_partkey", "l_quantity", "l_shipdate", "l_orderkey",
                                         "l_linenumber", "l_extendedprice")
         part = self.raw("part").select("p_partkey", "p_size")
+        order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
         x = lines.join(part, lines.l_partkey == part.p_partkey).select(
             (F.col("l_partkey") * 5 + F.col("n_regionkey")).alias("inventory_id"),
-            "l_quantity", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey",
-            "l_extendedprice", (F.lit(2) * F.col("p_size")).cast("int").alias("thr"))
-        w = Window.partitionBy("inventory_id").orderBy(
-            "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-        running = F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        x = x.select("inventory_id", "thr", F.row_number().over(w).alias("seq"),
-                     (running.cast("bigint") % 97).cast("int").alias("new_quantity"))
-        w2 = Window.partitionBy("inventory_id").orderBy("seq")
-        x = x.select("*", F.lag("new_quantity").over(w2).alias("old_quantity"),
-                     F.lag("thr").over(w2).alias("old_threshold"))
-        return x.filter(F.col("seq") > 1).select(
-            F.col("seq").cast("bigint").alias("seq"), "inventory_id", "old_quantity", "new_quantity",
-            "old_threshold", F.col("thr").alias("new_threshold"))
+            F.col("l_quantity").cast("bigint").alias("q"), *order,
+            (F.lit(2) * F.col("p_size")).cast("int").alias("thr"))
+        # chunk = ship month: the leading ordering column, so a row's chunks are contiguous
+        # runs of its order, and the split is a pure function of the data (re-runs and
+        # retried tasks see the same chunks)
+        x = x.withColumn("chunk", F.year("l_shipdate") * 12 + F.month("l_shipdate"))
+        w = Window.partitionBy("inventory_id", "chunk").orderBy(*order)
+        x = x.select("inventory_id", "chunk", "thr", "q", F.row_number().over(w).alias("local_rn"),
+                     F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                     .alias("local_sum"))
+        chunks = x.groupBy("inventory_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("total"))
+        before = Window.partitionBy("inventory_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = chunks.select("inventory_id", "chunk",
+                                F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rn_off"),
+                                F.coalesce(F.sum("total").over(before), F.lit(0)).alias("sum_off"))
+        y = x.join(offsets, ["inventory_id", "chunk"])
+        running = F.col("sum_off") + F.col("local_sum")
+        seq = (F.col("rn_off") + F.col("local_rn")).cast("bigint")
+        return y.filter(seq > 1).select(
+            seq.alias("seq"), "inventory_id",
+            ((running - F.col("q")) % 97).cast("int").alias("old_quantity"),   # the previous line's level
+            (running % 97).cast("int").alias("new_quantity"),
+            F.col("thr").alias("old_threshold"), F.col("thr").alias("new_threshold"))
 
     def shipment_change(self) -> DataFrame:
         """Status updates from the event log (entity = user_id, order = event_id)."""
