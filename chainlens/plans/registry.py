@@ -36,7 +36,9 @@ def register(name: str, sql: str | None = None, ctes: dict | None = None, needs_
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chainlens.sources.star import star_to_domain
+    """Build query ``name`` over the driver tables in ``sf_dir``.  The derived domain
+    tables are built once per input snapshot (see ``sources.materialize``)."""
+    from chainlens.sources.materialize import materialized_domain
     q = REGISTRY[name]
-    t = star_to_domain(spark, sf_dir)
+    t = materialized_domain(spark, sf_dir)
     return q.build(spark, t) if q.needs_spark else q.build(t)
