@@ -1,7 +1,7 @@
 """The ``opN_*`` queries and, where SQL can express them, their SQL."""
 
-from chainlens.llm import balanced_mix, exact_dup, near_dup
+from chainlens.llm import balanced_mix, exact_dup, near_dup, packing
 
-MODULES = (balanced_mix, exact_dup, near_dup)
+MODULES = (balanced_mix, exact_dup, near_dup, packing)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainlens.llm import balanced_mix, exact_dup, near_dup
+from chainlens.llm import balanced_mix, exact_dup, near_dup, packing
 from chainlens.llm.scratch import keep, table
 
 STAGES = [
     ("exact dedup", exact_dup.stage),
     ("near dedup", near_dup.stage),
     ("source mix", balanced_mix.stage),
+    ("packing", packing.stage),
 ]
 ORACLE_SQL = None
 
