@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainlens.llm import balanced_mix, exact_dup, near_dup, packing
+from chainlens.llm import balanced_mix, exact_dup, near_dup, packing, quality_rules
 from chainlens.llm.scratch import keep, table
 
 STAGES = [
+    ("quality rules", quality_rules.stage),
     ("exact dedup", exact_dup.stage),
     ("near dedup", near_dup.stage),
     ("source mix", balanced_mix.stage),
