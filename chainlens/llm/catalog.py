@@ -1,7 +1,8 @@
 """The ``opN_*`` queries and, where SQL can express them, their SQL."""
 
-from chainlens.llm import balanced_mix, exact_dup, near_dup, packing, quality_rules
+from chainlens.llm import balanced_mix, exact_dup, near_dup, packing, quality_gam, quality_rules, secrets
 
-MODULES = (balanced_mix, exact_dup, near_dup, packing, quality_rules)
+MODULES = (balanced_mix, exact_dup, near_dup, packing, quality_rules, secrets,
+           quality_gam)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
