@@ -4,10 +4,16 @@ Comparing all pairs of a bucket is quadratic, and comparing with one member alon
 links.  So buckets are worked off in rounds.  In each round every bucket whose members
 still lie in more than one component names one hub, and its members outside the hub's
 component are compared with it; verified links merge components.  Buckets that lie within
-one component are closed.  When a round finds no new link, the pairs across components that
-are left in open buckets (and could still reach the threshold by their sizes) are compared
-once, each pair once however many buckets it shares.  The components are then exact for the
-buckets given.
+one component are closed.
+
+Between rounds members are peeled: a link asks that ``percent`` of a set's shingles lie in the
+partner's set, so a member of which fewer occur in open members of other components has no link
+left to find.  That is one count per shingle, not per pair, and clears buckets that only a
+common passage holds together.
+
+When a round finds no new link, the pairs across components that are left in open buckets (and
+could still reach the threshold by their sizes) are compared once, each pair once however many
+buckets it shares.  The components are then exact for the buckets given.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ from pyspark.sql import functions as F
 from chainlens.llm.scratch import anything, discard, keep
 from chainlens.llm.shingles import overlap
 
-HUB_ROUNDS = 6
+HUB_ROUNDS = 12
+PEELS = 3
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -52,8 +59,7 @@ def similar(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int
             left, right = t.column("ga"), t.column("gb")
             ok = np.zeros(t.num_rows, bool)
             for i in range(t.num_rows):
-                x = np.frombuffer(left[i].as_buffer(), np.uint64)
-                y = np.frombuffer(right[i].as_buffer(), np.uint64)
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (left[i], right[i]))
                 both = overlap(x, y)
                 ok[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(ok)], ["a", "b", "linked"])
@@ -63,52 +69,71 @@ def similar(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int
     return full.select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long, linked boolean")
 
 
+def _open(spark: SparkSession, members: DataFrame) -> DataFrame:
+    """The members (bkey, node, n, c) of buckets that hold more than one component."""
+    mixed = members.groupBy("bkey").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bkey")
+    return keep(spark, members.join(mixed, "bkey"), "open")
+
+
+def _peel(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``members`` without those that can have no link to an open member of another component."""
+    for _ in range(PEELS):
+        nodes = members.select("node", "n", "c").distinct()
+        grams = keep(spark, sets.join(nodes, "node").select("node", "n", "c", F.explode("grams").alias("g")), "grams")
+        crossing = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("g")
+        able = (grams.join(crossing, "g").groupBy("node", "n").agg(F.count("*").alias("u"))
+                .filter(100 * F.col("u") >= percent * F.col("n")).select("node"))
+        able = keep(spark, able, "able")
+        left = _open(spark, members.join(able, "node"))
+        before, after = members.count(), left.count()
+        discard(spark, grams, able, members)
+        members = left
+        if 10 * after > 9 * before or not after:
+            break
+    return members
+
+
 def linked_components(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) over the verified links within buckets; nodes without a link are absent.
 
     ``members``: (bkey, node, n), written, each bucket of two nodes or more; ``sets``:
-    (node, grams), written, with the sorted 64-bit shingles as bytes.
+    (node, grams), written, with the sorted 64-bit shingles.
     """
-    tested = links = comp = None
-    last = False
-    for turn in range(HUB_ROUNDS + 1):
-        m = members
-        if comp is None:
-            m = m.withColumn("c", F.col("node"))
-        else:
-            m = m.join(comp.withColumnRenamed("comp", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        if turn:
-            opened = m.groupBy("bkey").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-            m = keep(spark, m.join(opened.select("bkey"), "bkey"), "open")
-            if not anything(m):
-                break
+    hubs = keep(spark, members.groupBy("bkey").agg(F.min("node").alias("hub")), "hubs")
+    pairs = members.join(hubs, "bkey").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    tested = keep(spark, similar(spark, pairs.distinct(), sets, percent), "tested")
+    links = tested.filter("linked").select("a", "b")
+    comp = components(spark, links)
+    found, m = True, members
+    for turn in range(1, HUB_ROUNDS + 1):
+        m = m.select("bkey", "node", "n").join(comp.withColumnRenamed("comp", "c"), "node", "left") \
+            .withColumn("c", F.coalesce("c", "node"))
+        m = _open(spark, m)
+        if anything(m):
+            m = _peel(spark, m, sets, percent)
+        if not anything(m):
+            break
+        last = not found or turn == HUB_ROUNDS
         if last:
             x, y = m.alias("x"), m.alias("y")
             pairs = x.join(y, (F.col("x.bkey") == F.col("y.bkey")) & (F.col("x.c") < F.col("y.c"))
                            & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         else:
-            hubs = keep(spark, m.groupBy("bkey").agg(
-                F.min("node").alias("hub") if not turn else
-                F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))).getField("node").alias("hub")), "hubs")
-            hubs = hubs.join(m.select("bkey", F.col("node").alias("hub"), F.col("c").alias("hc")), ["bkey", "hub"]) \
-                if turn else hubs.withColumn("hc", F.col("hub"))
+            # another hub each round, the first member by a hash of the round
+            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "c"))
+            hubs = keep(spark, m.groupBy("bkey").agg(first.alias("x")).select(
+                "bkey", F.col("x.node").alias("hub"), F.col("x.c").alias("hc")), "hubs")
             pairs = m.join(hubs, "bkey").filter("c != hc").select(
                 F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = keep(spark, similar(spark, pairs, sets, percent), "tested")
-        tested = found if tested is None else tested.union(found)
-        fresh = found.filter("linked").select("a", "b")
-        if anything(fresh):
-            links = fresh if links is None else links.union(fresh)
+        pairs = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = keep(spark, similar(spark, pairs, sets, percent), "tested")
+        tested = tested.union(new)
+        fresh = new.filter("linked").select("a", "b")
+        found = anything(fresh)
+        if found:
+            links = links.union(fresh)
             comp = components(spark, links)
-        elif last:
-            break
-        else:
-            last = True
-        if last and anything(fresh):
+        if last:
             break
-        last = last or turn + 1 == HUB_ROUNDS
-    return comp if comp is not None else spark.createDataFrame([], "node long, comp long")
+    return comp

@@ -56,10 +56,10 @@ def _sets(batches):
             a, b = fingerprint(g) if len(g) else (None, None)
             f1.append(a)
             f2.append(b)
-            grams.append(g.tobytes())
+            grams.append(g.view("i8"))
         yield pa.RecordBatch.from_arrays(
             [t.column("node"), t.column("w1"), t.column("w2"), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-             pa.array(grams, pa.binary())], ["node", "w1", "w2", "f1", "f2", "grams"])
+             pa.array(grams, pa.list_(pa.int64()))], ["node", "w1", "w2", "f1", "f2", "grams"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -87,7 +87,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
                     "node"))
     sets = keep(spark, texts.join(wanted.withColumnRenamed("doc_id", "want"), texts.doc_id.eqNullSafe(F.col("want")))
                 .select("node", "w1", "w2", "text")
-                .mapInArrow(_sets, "node long, w1 long, w2 long, f1 long, f2 long, grams binary")
+                .mapInArrow(_sets, "node long, w1 long, w2 long, f1 long, f2 long, grams array<long>")
                 .filter("f1 = w1 AND f2 = w2").select("node", "grams").dropDuplicates(["node"]), "sets")
 
     comp = linked_components(spark, members, sets, percent)
