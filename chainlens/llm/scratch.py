@@ -11,10 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Row groups of written tables: a task's writer holds one, a reader one per column.
+ROW_GROUP = 16 << 20
+
+
 def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a fresh folder of ``spark.checkpoint.dir`` and read it back."""
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
