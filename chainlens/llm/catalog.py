@@ -1,8 +1,8 @@
 """The ``opN_*`` queries and, where SQL can express them, their SQL."""
 
-from chainlens.llm import balanced_mix, exact_dup, licenses, near_dup, packing, quality_gam, quality_rules, secrets
+from chainlens.llm import balanced_mix, exact_dup, licenses, near_dup, packing, paragraph_dup, quality_gam, quality_rules, secrets, token_counts
 
 MODULES = (balanced_mix, exact_dup, near_dup, packing, quality_rules, secrets,
-           licenses, quality_gam)
+           licenses, quality_gam, token_counts, paragraph_dup)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
