@@ -127,12 +127,16 @@ def _decide(level: int):
     return run
 
 
-def mix(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The numbered rows (row, doc, size), and (row, source_size, target, times) for each."""
-    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    rows = keep(spark, docs.select(F.monotonically_increasing_id().alias("row"), "doc",
-                                   n_words(F.col("doc.text")).alias("size")), "mix-rows")
-    slim = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size")
+def mix(spark: SparkSession, docs: DataFrame, carry: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows (row, doc_id, source, size, doc), and (row, source_size, target, times).
+
+    ``doc`` is the whole row as a struct, only where ``carry`` is set.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source",
+                       n_words(F.col("text")).alias("size"), *[whole][:carry])
+    rows = keep(spark, rows, "mix-rows")
+    slim = rows.select("row", "doc_id", "source", "size")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     src = (targets(slim.select("source", "size")).withColumn("base", F.floor(ratio + EDGE).cast("int"))
            .withColumn("p", F.greatest(ratio - F.col("base"), F.lit(0.0)))
@@ -167,9 +171,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op2_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows, times = mix(spark, docs)
-    return rows.select("row", F.col("doc.doc_id").alias("doc_id"), "size").join(times, "row").select(
+    rows, times = mix(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carry=False)
+    return rows.select("row", "doc_id", "size").join(times, "row").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 

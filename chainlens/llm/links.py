@@ -11,7 +11,7 @@ partner's set, so a member of which fewer occur in open members of other compone
 left to find.  That is one count per shingle, not per pair, and clears buckets that only a
 common passage holds together.
 
-When a round finds no new link, the pairs across components that are left in open buckets (and
+When a round finds no new link, or few pairs are left in all, the pairs across components that are left in open buckets (and
 could still reach the threshold by their sizes) are compared once, each pair once however many
 buckets it shares.  The components are then exact for the buckets given.
 """
@@ -28,6 +28,7 @@ from chainlens.llm.shingles import overlap
 
 HUB_ROUNDS = 12
 PEELS = 3
+PAIRS_EACH = 8
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -93,6 +94,14 @@ def _peel(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int
     return members
 
 
+def _few_pairs(members: DataFrame) -> bool:
+    """Whether all pairs of the buckets are no more than ``PAIRS_EACH`` per member."""
+    m = F.col("m")
+    row = (members.groupBy("bkey").agg(F.count("*").cast("double").alias("m"))
+           .agg(F.sum(m * (m - 1) / 2).alias("pairs"), F.sum(m).alias("rows")).first())
+    return row.pairs <= PAIRS_EACH * row.rows
+
+
 def linked_components(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) over the verified links within buckets; nodes without a link are absent.
 
@@ -113,7 +122,7 @@ def linked_components(spark: SparkSession, members: DataFrame, sets: DataFrame,
             m = _peel(spark, m, sets, percent)
         if not anything(m):
             break
-        last = not found or turn == HUB_ROUNDS
+        last = not found or turn == HUB_ROUNDS or _few_pairs(m)
         if last:
             x, y = m.alias("x"), m.alias("y")
             pairs = x.join(y, (F.col("x.bkey") == F.col("y.bkey")) & (F.col("x.c") < F.col("y.c"))
