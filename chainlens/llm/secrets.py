@@ -34,7 +34,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 8, 16, 32, 16
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1   # and all other characters
-SMOOTH = 1.0
+#: Weight, in pairs, of a character's overall share in each row of a model.
+PRIOR = 500.0
 #: Mean log-likelihood ratio per pair from which a token counts as random.
 THRESHOLD = 0.5
 
@@ -99,19 +100,21 @@ def train(docs: DataFrame) -> list[float] | None:
     rows = (d.select(sample.alias("x")).select("x.random", F.explode(_pairs(F.col("x.tokens"))).alias("pair"))
             .groupBy("random", "pair").count().collect())
     place = {c: i for i, c in enumerate(ALPHABET)}
-    counts = {True: [[SMOOTH] * SIZE for _ in range(SIZE)], False: [[SMOOTH] * SIZE for _ in range(SIZE)]}
-    seen = {True: 0, False: 0}
+    counts = {k: [[0.0] * SIZE for _ in range(SIZE)] for k in (True, False)}
     for r in rows:
         if len(r.pair) == 2:
             counts[r.random][place.get(r.pair[0], SIZE - 1)][place.get(r.pair[1], SIZE - 1)] += r["count"]
-            seen[r.random] += r["count"]
-    if not seen[True]:
+    if not any(map(any, counts[True])):
         return None
-    ratios = []
-    for a in range(SIZE):
-        totals = {k: math.log(sum(counts[k][a])) for k in counts}
-        ratios += [math.log(counts[True][a][b]) - totals[True] - math.log(counts[False][a][b]) + totals[False]
-                   for b in range(SIZE)]
+
+    def model(pairs: list[list[float]]) -> list[list[float]]:
+        """Log probabilities of the next character; rare rows fall back on how common it is at all."""
+        common = [1.0 + sum(row[b] for row in pairs) for b in range(SIZE)]
+        whole = sum(common)
+        return [[math.log((row[b] + PRIOR * common[b] / whole) / (sum(row) + PRIOR)) for b in range(SIZE)] for row in pairs]
+
+    random, ordinary = model(counts[True]), model(counts[False])
+    ratios = [random[a][b] - ordinary[a][b] for a in range(SIZE) for b in range(SIZE)]
     return ratios
 
 
