@@ -11,24 +11,23 @@ partner's set, so a member of which fewer occur in open members of other compone
 left to find.  That is one count per shingle, not per pair, and clears buckets that only a
 common passage holds together.
 
-When a round finds no new link, or few pairs are left in all, the pairs across components that are left in open buckets (and
-could still reach the threshold by their sizes) are compared once, each pair once however many
-buckets it shares.  The components are then exact for the buckets given.
+When a round finds no new link, or after ``HUB_ROUNDS``, the pairs across components that are
+left are found by an exact prefix filter (``_prefix_pairs``) and compared once, each pair once
+however many buckets it shares.  The components are then exact for the buckets given.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainlens.llm.scratch import anything, discard, keep
 from chainlens.llm.shingles import overlap
 
-HUB_ROUNDS = 12
+HUB_ROUNDS = 3
 PEELS = 3
-PAIRS_EACH = 8
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -77,15 +76,24 @@ def _open(spark: SparkSession, members: DataFrame) -> DataFrame:
 
 
 def _peel(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``members`` without those that can have no link to an open member of another component."""
+    """``members`` without those that can have no link to an open member of another component,
+    and with ``w``, the mean number of open members that hold a shingle of the member.
+
+    A link of x and y asks for percent / (100 + percent) * (|x| + |y|) common shingles, and all
+    of them lie in members of other components.  |y| is no less than the smallest set of the
+    bucket, nor than ``percent`` of |x|.
+    """
     for _ in range(PEELS):
         nodes = members.select("node", "n", "c").distinct()
         grams = keep(spark, sets.join(nodes, "node").select("node", "n", "c", F.explode("grams").alias("g")), "grams")
-        crossing = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("g")
-        able = (grams.join(crossing, "g").groupBy("node", "n").agg(F.count("*").alias("u"))
-                .filter(100 * F.col("u") >= percent * F.col("n")).select("node"))
+        crossing = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")) \
+            .filter("lo < hi").select("g", "df")
+        able = (grams.join(crossing, "g").groupBy("node").agg(F.count("*").alias("u"), (F.sum("df") / F.max("n")).alias("w")))
         able = keep(spark, able, "able")
-        left = _open(spark, members.join(able, "node"))
+        least = members.groupBy("bkey").agg(F.min("n").alias("least"))
+        left = members.select("bkey", "node", "n", "c").join(able, "node").join(least, "bkey").filter(
+            (100 + percent) * F.col("u") >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))))
+        left = _open(spark, left.select("bkey", "node", "n", "c", "w"))
         before, after = members.count(), left.count()
         discard(spark, grams, able, members)
         members = left
@@ -94,12 +102,56 @@ def _peel(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int
     return members
 
 
-def _few_pairs(members: DataFrame) -> bool:
-    """Whether all pairs of the buckets are no more than ``PAIRS_EACH`` per member."""
-    m = F.col("m")
-    row = (members.groupBy("bkey").agg(F.count("*").cast("double").alias("m"))
-           .agg(F.sum(m * (m - 1) / 2).alias("pairs"), F.sum(m).alias("rows")).first())
-    return row.pairs <= PAIRS_EACH * row.rows
+def _prefix_pairs(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of open members of different components that can still be linked.
+
+    With all shingles in one order, rarest first, the first common shingle of a link lies among
+    the first n - need + 1 of both sets, ``need`` being the common shingles that the smallest
+    possible partner asks for.  Shingles that occur in one component only are common to no such
+    pair; they come first and are counted off.
+    """
+    least = members.groupBy("bkey").agg(F.min("n").alias("least"))
+    nodes = members.join(least, "bkey").groupBy("node", "n", "c").agg(
+        F.min(F.greatest("least", F.ceil(F.col("n") * percent / 100))).alias("least"))
+    need = F.ceil(percent * (F.col("n") + F.col("least")) / (100 + percent))
+    nodes = nodes.select("node", "n", "c", (F.col("n") - need + 1).alias("front"))
+    grams = keep(spark, sets.join(nodes, "node").select("node", "n", "c", "front", F.explode("grams").alias("g")), "grams")
+    crossing = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")) \
+        .filter("lo < hi").select("g", "df")
+    own = Window.partitionBy("node")     # one set
+    front = (grams.join(crossing, "g").withColumn("u", F.count("*").over(own))
+             .withColumn("place", F.row_number().over(own.orderBy("df", "g")))
+             .withColumn("place", F.col("place") + F.col("n") - F.col("u"))
+             .filter("place <= front").select("g", "node", "n", "c", (F.col("n") - F.col("place") + 1).alias("rest")))
+    front = keep(spark, front, "front")
+    discard(spark, grams)
+    mixed = front.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("g")
+    front = keep(spark, front.join(mixed, "g"), "front")
+    # where this is the first common shingle, no more than ``rest`` of either set are common
+    x, y = front.alias("x"), front.alias("y")
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c"))
+                   & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+                   & ((100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.n") + F.col("y.n"))))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def _merge(spark: SparkSession, comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``comp`` after ``links`` (a, b): components of the graph of components that they join."""
+    if comp is None:
+        return components(spark, links)
+    named = comp.withColumnRenamed("comp", "c")
+    ends = (links.join(named.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a", "left")
+            .join(named.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b", "left")
+            .select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    ends = keep(spark, ends, "ends")
+    joined = components(spark, ends.filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    nodes = comp.union(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("comp")),
+                                                     F.struct(F.col("b").alias("node"), F.col("cb").alias("comp")))).alias("x"))
+                       .select("x.*")).distinct()
+    new = nodes.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+    new = keep(spark, new.select("node", F.coalesce("to", "comp").alias("comp")), "comp")
+    discard(spark, ends)
+    return new
 
 
 def linked_components(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -111,9 +163,9 @@ def linked_components(spark: SparkSession, members: DataFrame, sets: DataFrame,
     hubs = keep(spark, members.groupBy("bkey").agg(F.min("node").alias("hub")), "hubs")
     pairs = members.join(hubs, "bkey").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     tested = keep(spark, similar(spark, pairs.distinct(), sets, percent), "tested")
-    links = tested.filter("linked").select("a", "b")
-    comp = components(spark, links)
+    comp = _merge(spark, None, tested.filter("linked").select("a", "b"))
     found, m = True, members
+    used = hubs.select("bkey", F.col("hub").alias("node"))
     for turn in range(1, HUB_ROUNDS + 1):
         m = m.select("bkey", "node", "n").join(comp.withColumnRenamed("comp", "c"), "node", "left") \
             .withColumn("c", F.coalesce("c", "node"))
@@ -122,17 +174,16 @@ def linked_components(spark: SparkSession, members: DataFrame, sets: DataFrame,
             m = _peel(spark, m, sets, percent)
         if not anything(m):
             break
-        last = not found or turn == HUB_ROUNDS or _few_pairs(m)
+        last = not found or turn == HUB_ROUNDS
         if last:
-            x, y = m.alias("x"), m.alias("y")
-            pairs = x.join(y, (F.col("x.bkey") == F.col("y.bkey")) & (F.col("x.c") < F.col("y.c"))
-                           & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            pairs = _prefix_pairs(spark, m, sets, percent)
         else:
-            # another hub each round, the first member by a hash of the round
-            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "c"))
-            hubs = keep(spark, m.groupBy("bkey").agg(first.alias("x")).select(
+            # another hub each round: the member whose shingles are the most common, so the text that
+            # others were made from rather than a far copy of it
+            best = F.max(F.struct("w", F.xxhash64("node").alias("h"), "node", "c"))
+            hubs = keep(spark, m.join(used, ["bkey", "node"], "left_anti").groupBy("bkey").agg(best.alias("x")).select(
                 "bkey", F.col("x.node").alias("hub"), F.col("x.c").alias("hc")), "hubs")
+            used = used.union(hubs.select("bkey", F.col("hub").alias("node")))
             pairs = m.join(hubs, "bkey").filter("c != hc").select(
                 F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         pairs = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -141,8 +192,7 @@ def linked_components(spark: SparkSession, members: DataFrame, sets: DataFrame,
         fresh = new.filter("linked").select("a", "b")
         found = anything(fresh)
         if found:
-            links = links.union(fresh)
-            comp = components(spark, links)
+            comp = _merge(spark, comp, fresh)
         if last:
             break
     return comp
