@@ -46,7 +46,8 @@ def radix(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     first = docs.select("doc", F.length(raw).cast("long").alias("grp"), F.substring(raw, 1, FIRST_DIGIT).alias("digit"))
     split = _split(spark, first.select("grp", "digit"))
-    rows = keep(spark, first.join(split, ["grp", "digit"], "left")
+    # the groups grow with the input, so they are merged and not broadcast at any size
+    rows = keep(spark, first.join(split.hint("merge"), ["grp", "digit"], "left")
                 .select(F.monotonically_increasing_id().alias("row"), "doc", F.col("name").alias("grp")), "rows")
     discard(spark, split)
 
@@ -60,7 +61,7 @@ def radix(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         at += width
         width = min(width * GROWTH, MAX_DIGIT)
         over = F.length("bytes") <= at
-        step = keep(spark, digit.join(split, ["grp", "digit"])
+        step = keep(spark, digit.join(split.hint("merge"), ["grp", "digit"])
                     .select("row", F.col("name").alias("grp"), over.alias("over"), F.when(~over, F.col("bytes")).alias("bytes")),
                     "live")
         discard(spark, split)
