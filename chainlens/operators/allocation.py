@@ -13,6 +13,11 @@ and requests → one frame, hash-partitioned by product, sorted by (product, kin
 inside each partition, then a ``mapInPandas`` generator that keeps only the current
 product's stock rows in memory (a heap of at most #warehouses rows) while requests
 stream through.  No group is ever materialised (unlike ``applyInPandas``).
+
+Stock only falls, so a request for more than its product's fullest row held at the start is
+rejected whatever came before it; so is one without stock rows, without a product or with a
+quantity that no order may have.  These are answered in the JVM, and the fold sees only
+requests that could still be accepted.
 """
 
 from __future__ import annotations
@@ -25,11 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.functions.predicates import as_of_lit
-from chainlens.functions.scalars import stock_severity, stock_status
+from chainlens.functions.scalars import stock_status
 from chainlens.schema import DEFAULT_PRIORITY, ORDER_FULFIL_DAYS, PRIORITIES
+from chainlens.session import scratch_path
 
 _OUT_SCHEMA = ("record string, seq long, product_id long, inventory_id long, status string, reason string, "
-               "stock_before int, stock_after int, minimum_threshold int")
+               "stock_before int, stock_after int, minimum_threshold int, company_id long, quantity int, "
+               "priority string")
+_INTS = {"seq": "Int64", "product_id": "Int64", "inventory_id": "Int64", "stock_before": "Int32", "stock_after": "Int32",
+         "minimum_threshold": "Int32", "company_id": "Int64", "quantity": "Int32"}
 
 
 def _fold(batches):
@@ -46,10 +55,11 @@ def _fold(batches):
         return {"record": ["stock"] * len(ids), "seq": [None] * len(ids), "product_id": [product] * len(ids),
                 "inventory_id": ids, "status": [None] * len(ids), "reason": [None] * len(ids),
                 "stock_before": [None] * len(ids), "stock_after": [final[i][0] for i in ids],
-                "minimum_threshold": [final[i][1] for i in ids]}
+                "minimum_threshold": [final[i][1] for i in ids], "company_id": [None] * len(ids),
+                "quantity": [None] * len(ids), "priority": [None] * len(ids)}
 
     cols = ["record", "seq", "product_id", "inventory_id", "status", "reason", "stock_before", "stock_after",
-            "minimum_threshold"]
+            "minimum_threshold", "company_id", "quantity", "priority"]
     for pdf in batches:
         out = {c: [] for c in cols}
         prod = pdf["product_id"].to_numpy()
@@ -58,6 +68,8 @@ def _fold(batches):
         qty = pdf["qty"].to_numpy(dtype="float64", na_value=np.nan)
         thr = pdf["thr"].to_numpy(dtype="float64", na_value=np.nan)
         valid = pdf["valid"].to_numpy()
+        company = pdf["company_id"].to_numpy(dtype="float64", na_value=np.nan)
+        priority = pdf["priority"].to_numpy()
         for j in range(len(pdf)):
             p = int(prod[j])
             if p != cur:
@@ -94,14 +106,13 @@ def _fold(batches):
             out["stock_before"].append(before)
             out["stock_after"].append(after)
             out["minimum_threshold"].append(t)
-        yield pd.DataFrame(out, columns=cols).astype({
-            "seq": "Int64", "product_id": "Int64", "inventory_id": "Int64", "stock_before": "Int32",
-            "stock_after": "Int32", "minimum_threshold": "Int32"})
+            out["company_id"].append(None if np.isnan(company[j]) else int(company[j]))
+            out["quantity"].append(want)
+            out["priority"].append(priority[j])
+        yield pd.DataFrame(out, columns=cols).astype(_INTS)
     fl = flush(cur)
     if fl:
-        yield pd.DataFrame(fl, columns=cols).astype({
-            "seq": "Int64", "product_id": "Int64", "inventory_id": "Int64", "stock_before": "Int32",
-            "stock_after": "Int32", "minimum_threshold": "Int32"})
+        yield pd.DataFrame(fl, columns=cols).astype(_INTS)
 
 
 def _validated(requests: DataFrame, companies: DataFrame) -> DataFrame:
@@ -114,30 +125,63 @@ def _validated(requests: DataFrame, companies: DataFrame) -> DataFrame:
             .drop("_known"))
 
 
-def run_allocation(requests: DataFrame, inventory: DataFrame, companies: DataFrame) -> DataFrame:
-    """The raw fold output: one 'request' record per request and one 'stock' record per
-    stock row whose quantity changed (its final quantity)."""
-    req = _validated(requests, companies)
-    stock = inventory.select(
+def best_stock_row(inventory: DataFrame, products: DataFrame) -> DataFrame:
+    """The stock row a request of each product is served from: the fullest, then the lowest id.
+
+    Rows of a product that does not exist, and rows without a quantity, serve nobody.
+    """
+    known = inventory.filter("quantity_available IS NOT NULL").join(
+        products.select("product_id"), "product_id", "left_semi")
+    return known.groupBy("product_id").agg(
+        F.max(F.struct(F.col("quantity_available").alias("q"), (-F.col("inventory_id")).alias("nid"))).alias("b")).select(
+        "product_id", (-F.col("b.nid")).alias("inventory_id"), F.col("b.q").alias("quantity_available"))
+
+
+def run_allocation(requests: DataFrame, inventory: DataFrame, companies: DataFrame, products: DataFrame) -> DataFrame:
+    """One 'request' record per request and one 'stock' record per stock row whose quantity
+    changed (its final quantity)."""
+    best = best_stock_row(inventory, products).select("product_id", F.col("quantity_available").alias("_best"))
+    req = _validated(requests, companies).join(best, "product_id", "left")
+    wants = F.col("quantity")
+    reason = (F.when(F.col("_best").isNull(), "no inventory").when(wants > F.col("_best"), "insufficient stock")
+              .when(F.coalesce(wants, F.lit(0)) <= 0, "invalid request"))
+    req = req.withColumn("_reason", reason)
+    none = F.lit(None)
+    early = req.filter("_reason IS NOT NULL").select(
+        F.lit("request").alias("record"), "seq", "product_id", none.cast("bigint").alias("inventory_id"),
+        F.lit("rejected").alias("status"), F.col("_reason").alias("reason"), none.cast("int").alias("stock_before"),
+        none.cast("int").alias("stock_after"), none.cast("int").alias("minimum_threshold"), "company_id", "quantity",
+        "priority")
+    open_ = req.filter("_reason IS NULL")
+    asked = open_.select("product_id").distinct()
+    stock = inventory.join(asked, "product_id", "left_semi").select(
         "product_id", F.lit(0).alias("kind"), F.col("inventory_id").alias("seq"),
         F.col("quantity_available").alias("qty"), F.col("minimum_threshold").alias("thr"),
-        F.lit(True).alias("valid"))
-    reqs = req.select("product_id", F.lit(1).alias("kind"), "seq", F.col("quantity").alias("qty"),
-                      F.lit(None).cast("int").alias("thr"), "valid")
-    both = stock.unionByName(reqs).filter(F.col("product_id").isNotNull())
-    ordered = both.repartition("product_id").sortWithinPartitions("product_id", "kind", "seq")
-    return ordered.mapInPandas(_fold, _OUT_SCHEMA)
+        F.lit(True).alias("valid"), none.cast("bigint").alias("company_id"), none.cast("string").alias("priority"))
+    reqs = open_.select("product_id", F.lit(1).alias("kind"), "seq", F.col("quantity").alias("qty"),
+                        none.cast("int").alias("thr"), "valid", "company_id", "priority")
+    ordered = stock.unionByName(reqs).repartition("product_id").sortWithinPartitions("product_id", "kind", "seq")
+    return early.unionByName(ordered.mapInPandas(_fold, _OUT_SCHEMA))
+
 
+def _written(t, folded: DataFrame) -> DataFrame:
+    """The fold's output as a table: it is read several times and must run once."""
+    path = scratch_path(t.spark, "allocation")
+    folded.write.parquet(path)
+    return t.spark.read.schema(folded.schema).parquet(path)
 
-def allocate_orders(t, requests: DataFrame | None = None, as_of=None):
-    """Returns (decisions, new orders, new inventory, stock changes)."""
+
+def allocate_orders(t, requests: DataFrame | None = None, as_of=None, written: bool = False):
+    """Returns (decisions, new orders, new inventory, stock changes); ``written`` runs the fold
+    once for all of them."""
     as_of = as_of if as_of is not None else t.as_of
     requests = requests if requests is not None else t.order_request
-    folded = run_allocation(requests, t.inventory, t.company)
-    req = _validated(requests, t.company).select("seq", "company_id", "quantity", "priority")
-    decisions = (folded.filter(F.col("record") == "request").drop("record")
-                 .join(req, "seq").select("seq", "company_id", "product_id", "quantity", "priority", "status",
-                                          "reason", "inventory_id", "stock_before", "stock_after"))
+    folded = run_allocation(requests, t.inventory, t.company, t.product)
+    if written:
+        folded = _written(t, folded)
+    decisions = folded.filter(F.col("record") == "request").select(
+        "seq", "company_id", "product_id", "quantity", "priority", "status", "reason", "inventory_id", "stock_before",
+        "stock_after")
     day = as_of_lit(as_of)
     orders = decisions.filter(F.col("status") == "accepted").select(
         F.col("seq").alias("request_seq"), "company_id", "product_id", F.col("quantity").alias("order_quantity"),
@@ -160,17 +204,17 @@ def allocate_orders(t, requests: DataFrame | None = None, as_of=None):
 
 
 def allocation_invariants(t, as_of=None) -> DataFrame:
-    """Checks on the fold: per product, Σ accepted quantity = stock decrease, and no
-    stock row ends negative.  One row per product with a violation (expected empty),
-    plus a one-row summary of accepted / rejected / units."""
-    decisions, _, new_inv, _ = allocate_orders(t, as_of=as_of)
+    """Checks on the fold, one row per product with an accepted request: the accepted units
+    equal the fall of its stock, and none of its stock rows ends below zero (``holds``)."""
+    decisions, _, new_inv, _ = allocate_orders(t, as_of=as_of, written=True)
     acc = (decisions.filter(F.col("status") == "accepted").groupBy("product_id")
            .agg(F.sum("quantity").cast("bigint").alias("accepted_units")))
-    before = t.inventory.groupBy("product_id").agg(F.sum("quantity_available").cast("bigint").alias("before"))
-    after = new_inv.groupBy("product_id").agg(F.sum("quantity_available").cast("bigint").alias("after"),
-                                              F.min("quantity_available").alias("min_after"))
-    x = acc.join(before, "product_id", "left").join(after, "product_id", "left")
-    return x.filter((F.col("before") - F.col("after") != F.col("accepted_units")) | (F.col("min_after") < 0))
+    before = t.inventory.groupBy("product_id").agg(F.sum("quantity_available").cast("bigint").alias("before_units"))
+    after = new_inv.groupBy("product_id").agg(F.sum("quantity_available").cast("bigint").alias("after_units"),
+                                              F.min("quantity_available").alias("least"))
+    x = acc.join(before, "product_id").join(after, "product_id")
+    holds = (F.col("before_units") - F.col("after_units") == F.col("accepted_units")) & (F.col("least") >= 0)
+    return x.select("product_id", "accepted_units", "before_units", "after_units", holds.alias("holds"))
 
 
 def allocation_summary(t, as_of=None) -> DataFrame:
@@ -187,6 +231,3 @@ def allocation_risk_events(t, as_of=None) -> DataFrame:
     changes = allocate_orders(t, as_of=as_of)[3]
     return inventory_risk_events(changes, t.risk_event, as_of)
 
-
-def severity_of(qty, thr):
-    return stock_severity(qty, thr)

@@ -187,12 +187,15 @@ def _health(df: DataFrame, rel_sum100, n, total, delayed, penalty100) -> DataFra
     num = R·T + 100·n·(T − D) − 2·n·T·pen and den = 2·n·T (R = Σ score·100, pen in %);
     no suppliers ⇒ avgRel 0, no shipments ⇒ onTime 1.  Rounding is
     (2·num + den) div (2·den); a negative numerator is clamped to 0 either way."""
-    n1 = F.greatest(n, F.lit(1)).cast("bigint")
-    r = F.when(n > 0, rel_sum100).otherwise(F.lit(0)).cast("bigint")
-    t1 = F.when(total > 0, total).otherwise(F.lit(1)).cast("bigint")
-    td = F.when(total > 0, total - delayed).otherwise(F.lit(1)).cast("bigint")
-    den = F.lit(2) * n1 * t1
-    num = r * t1 + F.lit(100) * n1 * td - den * penalty100.cast("bigint")
+    def big(c, digits):                       # the products below stay under 38 digits
+        return c.cast(f"decimal({digits},0)")
+
+    n1 = big(F.greatest(n, F.lit(1)), 13)
+    r = big(F.when(n > 0, rel_sum100).otherwise(F.lit(0)), 15)
+    t1 = big(F.when(total > 0, total).otherwise(F.lit(1)), 15)
+    td = big(F.when(total > 0, total - delayed).otherwise(F.lit(1)), 15)
+    den = big(F.lit(2), 1) * n1 * t1
+    num = r * t1 + big(F.lit(100), 3) * n1 * td - den * big(penalty100, 2)
     out = df.withColumn("_num", num).withColumn("_den", den)
     score = F.expr("greatest(0, least(100, (2 * _num + _den) div (2 * _den)))").cast("int")
     return out.withColumn("health_score", score).drop("_num", "_den")
@@ -262,7 +265,7 @@ def alert_counts(t, as_of=None, cid=ALL, status=None, severity=None, q=None) ->
     risks = t.risk_event if cid == ALL else risks_by_company(t, cid)
     low = low_inventory(t, cid, ordered=False).filter(search(q, "product_name"))
     late = delayed_shipments(t, as_of, cid, ordered=False).filter(search(q, "product_name", "supplier_name"))
-    orders = list_orders(t, cid).filter(value_in("order_status", status)) \
+    orders = list_orders(t, cid, ordered=False).filter(value_in("order_status", status)) \
         .filter(search(q, "product_name", "company_name"))
     rk = (risks.filter(value_in("risk_severity", severity)).filter(value_in("resolution_status", status))
           .filter(search(q, "description", "risk_type")))

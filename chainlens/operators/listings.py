@@ -61,13 +61,14 @@ def list_shipments(t, cid=ALL) -> DataFrame:
             .orderBy("shipment_id"))
 
 
-def list_orders(t, cid=ALL) -> DataFrame:
-    """Orders.* + company_name, product_name, newest first (id breaks ties)."""
+def list_orders(t, cid=ALL, ordered: bool = True) -> DataFrame:
+    """Orders.* + company_name, product_name, newest first (id breaks ties) unless ``ordered``
+    is off, for callers that order, count or write the rows themselves."""
     c = t.company.select("company_id", "company_name")
     p = t.product.select("product_id", "product_name")
-    return (scope(t.orders, cid).join(c, "company_id").join(p, "product_id")
-            .select(t.orders.columns + ["company_name", "product_name"])
-            .orderBy(F.col("order_date").desc_nulls_first(), F.col("order_id").desc()))
+    o = (scope(t.orders, cid).join(c, "company_id").join(p, "product_id")
+         .select(t.orders.columns + ["company_name", "product_name"]))
+    return o.orderBy(F.col("order_date").desc_nulls_first(), F.col("order_id").desc()) if ordered else o
 
 
 def list_risks(t) -> DataFrame:
@@ -105,6 +106,6 @@ def top_n(df: DataFrame, n: int, order_cols, partition_by=None) -> DataFrame:
 
 def recent_orders(t, n: int = 15, cid=ALL, per_company: bool = False) -> DataFrame:
     """T4: the n newest orders (order date, then id), globally or per tenant."""
-    o = list_orders(t, cid)
+    o = list_orders(t, cid, ordered=False)
     order = [F.col("order_date").desc_nulls_first(), F.col("order_id").desc()]
     return top_n(o, n, order, ["company_id"] if per_company else None)

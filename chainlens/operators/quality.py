@@ -45,6 +45,21 @@ def apply_defaults(df: DataFrame, table: str, as_of=None, schema=None) -> DataFr
 # ---------------------------------------------------------------------------------
 
 
+# The longest text each column takes.
+TEXT_LENGTHS = {
+    "company": {"company_name": 150, "industry": 100, "country": 100, "contact_email": 150, "contact_phone": 30,
+                "status": 30},
+    "supplier": {"supplier_name": 150, "country": 100, "contact_email": 150},
+    "product": {"product_name": 200, "category": 100},
+    "warehouse": {"warehouse_name": 150, "location_city": 100, "location_country": 100, "manager_name": 100,
+                  "contact_number": 30},
+    "inventory": {"inventory_status": 30},
+    "shipment": {"shipment_status": 30, "transport_mode": 30},
+    "orders": {"order_status": 30, "priority_level": 20},
+    "risk_event": {"entity_type": 50, "risk_type": 50, "risk_severity": 20, "resolution_status": 30},
+}
+
+
 def _enum(col: str, values) -> str:
     return f"{col} IN ({', '.join(repr(v) for v in values)})"
 
@@ -60,6 +75,14 @@ def constraint_rules() -> dict[str, list[tuple[str, str]]]:
     def ln(x, n):
         return (f"{x} length <= {n}", f"length({x}) <= {n}")
 
+    rules = _check_rules(nn, ln)
+    for table, lengths in TEXT_LENGTHS.items():
+        named = {name for name, _ in rules[table]}
+        rules[table] += [ln(c, n) for c, n in lengths.items() if f"{c} length <= {n}" not in named]
+    return rules
+
+
+def _check_rules(nn, ln) -> dict[str, list[tuple[str, str]]]:
     return {
         "company": nn("company_id", "company_name") + [
             ln("company_name", 150), ln("industry", 100), ln("country", 100),
@@ -135,6 +158,24 @@ def key_violations(df: DataFrame, key) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+# Keys of the domain tables beside their primary keys.
+UNIQUE_KEYS = {"app_user": [["email"]], "subscription_plan": [["plan_name"]]}
+
+
+def domain_key_violations(t) -> DataFrame:
+    """Q3 for every domain table: (table, key columns, key value, n) of keys that occur twice or more.
+
+    A NULL in a unique key is no violation; in a primary key it is one of Q2's."""
+    frames = []
+    for table, key in [*PRIMARY_KEYS.items(), *((n, k) for n, ks in UNIQUE_KEYS.items() for k in ks)]:
+        keyed = t[table].select(F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("key_value"),
+                                *[F.col(c).alias(f"k{i}") for i, c in enumerate(key)])
+        keyed = keyed.filter(" AND ".join(f"k{i} IS NOT NULL" for i in range(len(key))))
+        frames.append(keyed.groupBy("key_value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+            F.lit(table).alias("table_name"), F.lit(",".join(key)).alias("key_columns"), "key_value", "n"))
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """Q4: child rows whose non-NULL foreign key has no parent (left anti join)."""
     return child.filter(F.col(fk).isNotNull()).join(
@@ -179,18 +220,21 @@ def risk_dangling_refs(t) -> DataFrame:
 def purge_companies(t, ids: DataFrame):
     """Delete companies ``ids(company_id)`` and cascade down the foreign-key tree;
     users of a deleted company keep their row with company_id NULL; risks are left
-    dangling.  Returns the new table bundle."""
+    dangling.  A row goes only with a parent that is deleted, so orphans and rows with a
+    NULL key stay.  Returns the new table bundle."""
     ids = ids.select("company_id").distinct()
-    company = t.company.join(ids, "company_id", "left_anti")
-    supplier = t.supplier.join(ids, "company_id", "left_anti")
-    product = t.product.join(supplier.select("supplier_id"), "supplier_id", "left_semi")
-    inventory = (t.inventory.join(product.select("product_id"), "product_id", "left_semi")
-                 .join(t.warehouse.select("warehouse_id"), "warehouse_id", "left_semi"))
-    shipment = (t.shipment.join(product.select("product_id"), "product_id", "left_semi")
-                .join(supplier.select("supplier_id"), "supplier_id", "left_semi"))
-    orders = (t.orders.join(company.select("company_id"), "company_id", "left_semi")
-              .join(product.select("product_id"), "product_id", "left_semi"))
-    gone = ids.withColumn("_gone", F.lit(True))
+    gone_company = t.company.join(ids, "company_id", "left_semi").select("company_id")
+    gone_supplier = t.supplier.join(gone_company, "company_id", "left_semi").select("supplier_id")
+    gone_product = t.product.join(gone_supplier, "supplier_id", "left_semi").select("product_id")
+    company = t.company.join(gone_company, "company_id", "left_anti")
+    supplier = t.supplier.join(gone_company, "company_id", "left_anti")
+    product = t.product.join(gone_supplier, "supplier_id", "left_anti")
+    inventory = t.inventory.join(gone_product, "product_id", "left_anti")
+    shipment = (t.shipment.join(gone_product, "product_id", "left_anti")
+                .join(gone_supplier, "supplier_id", "left_anti"))
+    orders = (t.orders.join(gone_company, "company_id", "left_anti")
+              .join(gone_product, "product_id", "left_anti"))
+    gone = gone_company.withColumn("_gone", F.lit(True))
     users = t.app_user.join(gone, "company_id", "left").select(
         *[F.when(F.col("_gone"), F.lit(None).cast("bigint")).otherwise(F.col(c)).alias(c) if c == "company_id"
           else F.col(c) for c in t.app_user.columns])

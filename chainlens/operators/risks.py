@@ -17,21 +17,19 @@ def risks_by_company(t, cid=ALL) -> DataFrame:
     """Risks visible to a tenant, with the tenant's ``company_id``.
 
     A Shipment risk resolves through the shipment's own supplier, an Inventory risk
-    through inventory → product → supplier.  entity_type is single-valued, so at most
-    one branch matches and ``supplier_id = coalesce(shipment branch, inventory branch)``
-    replaces the OR join condition (which would plan as a nested-loop join) with
-    equi-joins.  All joins are N:1 on primary keys, so no DISTINCT is needed.  Risks of
-    other entity types, and dangling ones, have no tenant and are dropped.
+    through inventory → product → supplier.  Each entity type is a branch of its own with
+    plain equi-joins on primary keys, so no row of one type is shuffled by the other's
+    (NULL) key, and the ``entity_type`` filter prunes the partitions of ``risk_event``.
+    Risks of other entity types, and dangling ones, have no tenant and are dropped.
     """
     r = t.risk_event
-    sh = t.shipment.select(F.col("shipment_id").alias("_sh_id"), F.col("supplier_id").alias("_sh_sup"))
-    inv = t.inventory.select(F.col("inventory_id").alias("_inv_id"), F.col("product_id").alias("_inv_prod"))
-    prod = t.product.select(F.col("product_id").alias("_p_id"), F.col("supplier_id").alias("_p_sup"))
     sup = scope(t.supplier, cid).select(F.col("supplier_id").alias("_s_id"), "company_id")
-    x = (r.join(sh, (F.col("entity_type") == "Shipment") & (F.col("entity_id") == F.col("_sh_id")), "left")
-         .join(inv, (F.col("entity_type") == "Inventory") & (F.col("entity_id") == F.col("_inv_id")), "left")
-         .join(prod, F.col("_inv_prod") == F.col("_p_id"), "left"))
-    x = x.join(sup, F.coalesce(F.col("_sh_sup"), F.col("_p_sup")) == F.col("_s_id"))
+    sh = t.shipment.select(F.col("shipment_id").alias("entity_id"), F.col("supplier_id").alias("_s_id"))
+    inv = t.inventory.select(F.col("inventory_id").alias("entity_id"), F.col("product_id").alias("_p_id"))
+    prod = t.product.select(F.col("product_id").alias("_p_id"), F.col("supplier_id").alias("_s_id"))
+    late = r.filter(F.col("entity_type") == "Shipment").join(sh, "entity_id")
+    low = r.filter(F.col("entity_type") == "Inventory").join(inv, "entity_id").join(prod, "_p_id")
+    x = late.select(*RISK_COLS, "_s_id").unionByName(low.select(*RISK_COLS, "_s_id")).join(sup, "_s_id")
     return x.select(*RISK_COLS, "company_id")
 
 

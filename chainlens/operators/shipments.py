@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.predicates import as_of_lit
 from chainlens.schema import SHIPMENT_STATUSES
 
 
+def status_changes(shipments: DataFrame, updates: DataFrame) -> DataFrame:
+    """The changes (seq, shipment_id, old_status, new_status) that M5 makes for ``updates``: the old
+    status of a shipment's update is what its previous valid update left, first the table's.
+
+    They feed the delay trigger (E2)."""
+    valid = updates.filter(F.col("new_status").isin(*SHIPMENT_STATUSES)).select("seq", "shipment_id", "new_status")
+    w = Window.partitionBy("shipment_id").orderBy("seq")
+    x = valid.join(shipments.select("shipment_id", "shipment_status"), "shipment_id")
+    old = F.when(F.row_number().over(w) == 1, F.col("shipment_status")).otherwise(F.lag("new_status").over(w))
+    return x.select("seq", "shipment_id", old.alias("old_status"), "new_status")
+
+
 def update_shipments(shipments: DataFrame, updates: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """Apply ``updates(seq, shipment_id, new_status)`` to ``shipments``.
 
@@ -27,9 +39,8 @@ def update_shipments(shipments: DataFrame, updates: DataFrame, as_of) -> tuple[D
         *[(F.coalesce(F.col("_last_status"), F.col(c)).alias(c) if c == "shipment_status" else
            F.when(F.coalesce(F.col("_delivered"), F.lit(False)), as_of_lit(as_of)).otherwise(F.col(c)).alias(c)
            if c == "actual_delivery_date" else F.col(c)) for c in shipments.columns])
-    rejected = (updates.join(shipments.select("shipment_id"), "shipment_id", "left_anti")
-                .withColumn("reason", F.lit("not found"))
-                .unionByName(updates.join(shipments.select("shipment_id"), "shipment_id", "left_semi")
-                             .filter(~F.coalesce(F.col("new_status").isin(*SHIPMENT_STATUSES), F.lit(False)))
-                             .withColumn("reason", F.lit("invalid status"))))
+    known = updates.join(shipments.select("shipment_id", F.lit(True).alias("_known")), "shipment_id", "left")
+    reason = (F.when(F.col("_known").isNull(), "not found")
+              .when(~F.coalesce(F.col("new_status").isin(*SHIPMENT_STATUSES), F.lit(False)), "invalid status"))
+    rejected = known.select(*updates.columns, reason.alias("reason")).filter("reason IS NOT NULL")
     return out, rejected

@@ -33,6 +33,15 @@ def list_plans(t) -> DataFrame:
             .orderBy("price_monthly", "plan_id"))
 
 
+def list_plans_with_users(t) -> DataFrame:
+    """L10 with the number of users whose subscription to the plan is active."""
+    users = (t.user_subscription.filter(F.col("status") == "active").groupBy("plan_id")
+             .agg(F.countDistinct("user_id").alias("active_users")))
+    plans = t.subscription_plan.filter(F.coalesce(F.col("is_active"), F.lit(False)))
+    return (plans.join(users, "plan_id", "left").withColumn("active_users", F.coalesce("active_users", F.lit(0)))
+            .select(*t.subscription_plan.columns, "active_users").orderBy("price_monthly", "plan_id"))
+
+
 def active_subscription(t) -> DataFrame:
     """Newest 'active' row per user (by created_at, then id) with its plan's
     entitlement columns.  Expiry is not checked."""
@@ -93,3 +102,24 @@ def activate_subscriptions(t, payments: DataFrame | None = None, now=None) -> Da
         F.when(activated, started + F.expr(f"INTERVAL {SUBSCRIPTION_DAYS} DAYS"))
         .otherwise(F.col("expires_at")).alias("expires_at"),
         "created_at")
+
+
+def activate_free_plan(t, requests: DataFrame, now) -> DataFrame:
+    """P2, free plan: for every user of ``requests(user_id, plan_id)`` who asks for a plan without
+    a price, active rows expire and a new active row starts at ``now`` that never expires.
+
+    Of several requests of one user the one with the smallest plan id counts; unknown users,
+    unknown plans and priced plans change nothing.  New rows have no ``subscription_id`` yet
+    (the sink numbers rows).  Returns the full new subscription table.
+    """
+    free = t.subscription_plan.filter(F.col("price_monthly") == 0).select("plan_id")
+    ask = (requests.join(free, "plan_id").join(t.app_user.select("user_id"), "user_id", "left_semi")
+           .groupBy("user_id").agg(F.min("plan_id").alias("plan_id")))
+    subs, at = t.user_subscription, F.lit(now).cast("timestamp_ntz")
+    old = subs.join(ask.select("user_id", F.lit(True).alias("_asked")), "user_id", "left").select(
+        *[F.when(F.col("_asked") & (F.col("status") == "active"), "expired").otherwise(F.col("status")).alias(c)
+          if c == "status" else F.col(c) for c in subs.columns])
+    new = {"user_id": F.col("user_id"), "plan_id": F.col("plan_id"), "status": F.lit("active"),
+           "amount_paid": F.lit(0), "started_at": at, "created_at": at}
+    return old.unionByName(ask.select(
+        *[new.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in subs.schema.fields]))

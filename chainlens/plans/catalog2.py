@@ -3,6 +3,8 @@ labels/reports, context documents and conversations."""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from chainlens.functions import scalars as X
@@ -10,7 +12,7 @@ from chainlens.operators import alerts, context, kpis, listings, quality, risks,
 from chainlens.plans.catalog import (AS_OF, CID, COMPANY_ROLLUP_SQL, LOW_INV_SQL, ORDERS_SQL,  # noqa: F401
                                      RISKS_BY_COMPANY_SQL)
 from chainlens.plans.registry import register
-from chainlens.schema import FOREIGN_KEYS, SHIPMENT_STATUSES
+from chainlens.schema import FOREIGN_KEYS, PRIMARY_KEYS, SHIPMENT_STATUSES
 
 # ---------------------------------------------------------------------------------
 # M2 — bulk risk detection
@@ -227,6 +229,28 @@ def _violation_count_sql() -> str:
 
 register("check_violations", _violation_count_sql())(lambda t: quality.check_violation_counts(t))
 
+def _violation_rows_sql() -> str:
+    parts = []
+    for table, rules in quality.constraint_rules().items():
+        pk = PRIMARY_KEYS[table][0]
+        for name, cond in rules:
+            parts.append(f"SELECT '{table}' AS table_name, '{name}' AS rule, {pk} AS row_key FROM d_{table} "
+                         f"WHERE {quality.violated_sql(cond)}")
+    return "\nUNION ALL\n".join(parts)
+
+
+register("violation_rows", _violation_rows_sql())(lambda t: quality.check_violations(t))
+
+
+def _domain_keys_sql() -> str:
+    keys = [*PRIMARY_KEYS.items(), *((n, k) for n, ks in quality.UNIQUE_KEYS.items() for k in ks)]
+    return "\nUNION ALL\n".join(
+        f"SELECT '{table}' AS table_name, '{','.join(key)}' AS key_columns, CAST({key[0]} AS VARCHAR) AS key_value, "
+        f"COUNT(*) AS n FROM d_{table} WHERE {key[0]} IS NOT NULL GROUP BY {key[0]} HAVING COUNT(*) > 1" for table, key in keys)
+
+
+register("domain_key_violations", _domain_keys_sql())(lambda t: quality.domain_key_violations(t))
+
 register("duplicate_keys", """
 SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""")(
     lambda t: quality.key_violations(t.raw("lineitem"), ["l_orderkey", "l_linenumber"]))
@@ -265,27 +289,28 @@ def _purge(t):
 
 
 register("purge_company_counts", f"""
-SELECT 'company' AS table_name, COUNT(*) AS row_count FROM kc
-UNION ALL SELECT 'supplier', COUNT(*) FROM ks
-UNION ALL SELECT 'product', COUNT(*) FROM kp
+SELECT 'company' AS table_name, COUNT(*) AS row_count FROM d_company WHERE company_id IS DISTINCT FROM {CID}
+UNION ALL SELECT 'supplier', COUNT(*) FROM d_supplier WHERE company_id IS DISTINCT FROM {CID}
+UNION ALL SELECT 'product', COUNT(*) FROM d_product p
+  WHERE NOT EXISTS (SELECT 1 FROM gs WHERE gs.supplier_id = p.supplier_id)
 UNION ALL SELECT 'inventory', COUNT(*) FROM d_inventory i
-  WHERE i.product_id IN (SELECT product_id FROM kp) AND i.warehouse_id IN (SELECT warehouse_id FROM d_warehouse)
+  WHERE NOT EXISTS (SELECT 1 FROM gp WHERE gp.product_id = i.product_id)
 UNION ALL SELECT 'shipment', COUNT(*) FROM d_shipment sh
-  WHERE sh.product_id IN (SELECT product_id FROM kp) AND sh.supplier_id IN (SELECT supplier_id FROM ks)
+  WHERE NOT EXISTS (SELECT 1 FROM gp WHERE gp.product_id = sh.product_id)
+    AND NOT EXISTS (SELECT 1 FROM gs WHERE gs.supplier_id = sh.supplier_id)
 UNION ALL SELECT 'orders', COUNT(*) FROM d_orders o
-  WHERE o.company_id IN (SELECT company_id FROM kc) AND o.product_id IN (SELECT product_id FROM kp)
+  WHERE o.company_id IS DISTINCT FROM {CID} AND NOT EXISTS (SELECT 1 FROM gp WHERE gp.product_id = o.product_id)
 UNION ALL SELECT 'app_user', COUNT(*) FROM d_app_user
 UNION ALL SELECT 'app_user_without_company', COUNT(*) FROM d_app_user
   WHERE company_id IS NULL OR company_id = {CID}""",
-         ctes={"kc": f"SELECT * FROM d_company WHERE company_id <> {CID}",
-               "ks": f"SELECT * FROM d_supplier WHERE company_id <> {CID}",
-               "kp": "SELECT * FROM d_product WHERE supplier_id IN (SELECT supplier_id FROM ks)"})(_purge)
+         ctes={"gs": f"SELECT supplier_id FROM d_supplier WHERE company_id = {CID}",
+               "gp": "SELECT product_id FROM d_product JOIN gs USING (supplier_id)"})(_purge)
 
 register("orders_json", f"""
 SELECT order_id, CAST(order_date AS VARCHAR) AS j_order_date, CAST(order_quantity AS VARCHAR) AS j_order_quantity,
        company_name AS j_company_name, order_status AS j_order_status
 FROM ({ORDERS_SQL}) o""")(
-    lambda t: quality.to_json_rows(listings.list_orders(t), "order_id").select(
+    lambda t: quality.to_json_rows(listings.list_orders(t, ordered=False), "order_id").select(
         "order_id", F.get_json_object("json", "$.order_date").alias("j_order_date"),
         F.get_json_object("json", "$.order_quantity").alias("j_order_quantity"),
         F.get_json_object("json", "$.company_name").alias("j_company_name"),
@@ -329,6 +354,27 @@ GROUP BY p.subscription_id, p.user_id""",
                "last_pay": "SELECT user_id, MAX(pay_seq) AS last_seq FROM matched GROUP BY user_id"})(
     lambda t: subscriptions.activate_subscriptions(t))
 
+# P2, free plan: every user with a pending payment turns to the Starter plan instead
+_FREE_NOW = datetime.datetime(1998, 6, 15, 12, 0, 0)
+
+
+def _free_plan(t):
+    asks = (t.user_subscription.filter(F.col("status") == "pending").select("user_id").distinct()
+            .select("user_id", F.lit(1).cast("bigint").alias("plan_id")))
+    return subscriptions.activate_free_plan(t, asks, _FREE_NOW)
+
+
+register("activate_free_plan", f"""
+SELECT s.subscription_id, s.user_id, s.plan_id,
+       CASE WHEN s.status = 'active' AND a.user_id IS NOT NULL THEN 'expired' ELSE s.status END AS status,
+       s.payment_order_id, s.amount_paid, s.started_at, s.expires_at, s.created_at
+FROM d_user_subscription s LEFT JOIN asked a ON a.user_id = s.user_id
+UNION ALL
+SELECT NULL, user_id, 1, 'active', NULL, CAST(0 AS DECIMAL(10, 2)), TIMESTAMP '{_FREE_NOW}', NULL, TIMESTAMP '{_FREE_NOW}'
+FROM asked""", ctes={"asked": """
+SELECT DISTINCT s.user_id FROM d_user_subscription s JOIN d_app_user u ON u.user_id = s.user_id
+WHERE s.status = 'pending'"""})(_free_plan)
+
 # ---------------------------------------------------------------------------------
 # C1–C4 — context documents, conversation history
 # ---------------------------------------------------------------------------------

@@ -37,12 +37,8 @@ def register(name: str, sql: str | None = None, ctes: dict | None = None, needs_
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build query ``name`` over the driver tables in ``sf_dir``.  The derived domain
-    tables are built once per input snapshot (see ``sources.materialize``)."""
+    tables that it reads are built once per input snapshot (see ``sources.materialize``)."""
     from chainlens.sources.materialize import materialized_domain
-    from chainlens.sources.star import star_to_domain
     q = REGISTRY[name]
-    try:
-        t = materialized_domain(spark, sf_dir)
-    except Exception:  # noqa: BLE001 - no JVM-side file system access (e.g. a remote session)
-        t = star_to_domain(spark, sf_dir)
+    t = materialized_domain(spark, sf_dir)
     return q.build(spark, t) if q.needs_spark else q.build(t)

@@ -2,60 +2,64 @@
 
 The mapping from the driver tables (S2) aggregates ``lineitem`` and windows over
 ``events``; every query that reads ``inventory`` or ``shipment`` would redo that work.
-Here each derived table is written once into the shared folder named by
-``spark.checkpoint.dir`` (a written table cuts the lineage: a lost executor re-reads
-files instead of recomputing the mapping) and later queries read the files.  The folder
-name is a fingerprint of the input files (path, size, modification time), so changed
-inputs get a new snapshot.  A table counts as built only when its ``_SUCCESS`` marker
-exists.
+Here a derived table is written into the shared folder named by ``spark.checkpoint.dir``
+when a query first reads it (a written table cuts the lineage: a lost executor re-reads
+files instead of recomputing the mapping), and later queries read the files.  The folder
+name is a fingerprint of the input tables (modification time, bytes and number of files),
+so changed inputs get a new snapshot.
+
+A table is written under a name of its own and published by a rename, so two sessions
+that build the same table never write to one path and a reader never sees half a table.
+Snapshots of former inputs stay until the folder's owner removes them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from chainlens.schema import SCHEMAS
 from chainlens.session import checkpoint_root
 from chainlens.sources.star import star_to_domain
-from chainlens.sources.tables import Tables
+from chainlens.sources.tables import Tables, file_system
 
 DERIVED = ["company", "supplier", "product", "warehouse", "inventory", "shipment", "orders", "risk_event",
            "app_user", "user_subscription", "order_request", "inventory_change", "shipment_change",
            "risk_resolution", "payment"]
 
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+#: How derived tables are laid out: risks are always read for some entity types.
+PARTITIONED = {"risk_event": ["entity_type"]}
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    fs, root = _fs(spark, sf_dir)
-    it = fs.listFiles(root, True)
+    """One listing of the input folder and one summary per table, however many files they have."""
+    fs, root = file_system(spark, sf_dir)
     parts = [sf_dir]
-    while it.hasNext():
-        st = it.next()
-        parts.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+    for st in fs.listStatus(root):
+        sums = fs.getContentSummary(st.getPath())
+        parts.append(f"{st.getPath().toString()}|{st.getModificationTime()}|{sums.getLength()}|{sums.getFileCount()}")
     return hashlib.sha1("\n".join(sorted(parts)).encode()).hexdigest()[:16]
 
 
-def _built(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path + "/_SUCCESS")
-    return bool(fs.exists(p))
+def published(spark: SparkSession, root: str, name: str, build) -> DataFrame:
+    """The table ``name`` of the snapshot ``root``, written by ``build`` if it isn't there."""
+    path = f"{root}/{name}"
+    fs, final = file_system(spark, path)
+    if not fs.exists(final):
+        own = f"{root}/_{name}-{uuid.uuid4().hex}"
+        build().write.partitionBy(*PARTITIONED.get(name, [])).parquet(own)
+        mine = file_system(spark, own)[1]
+        # renaming onto a folder that another session published meanwhile moves ours into it
+        if fs.exists(final) or not fs.rename(mine, final):
+            fs.delete(mine, True)
+    schema = SCHEMAS[name]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def materialized_domain(spark: SparkSession, sf_dir: str, names=DERIVED) -> Tables:
+    """The domain tables; a derived one is built when a query asks for it."""
     t = star_to_domain(spark, sf_dir)
     root = f"{checkpoint_root(spark).rstrip('/')}/domain-{_fingerprint(spark, sf_dir)}"
-    frames = {}
-    for n in names:
-        path = f"{root}/{n}"
-        if not _built(spark, path):
-            t[n].write.mode("overwrite").parquet(path)
-        frames[n] = spark.read.schema(SCHEMAS[n]).parquet(path)
-    out = t.replace(**frames)
-    out.raw = t.raw
-    return out
+    return t.with_factories({n: (lambda n=n: published(spark, root, n, lambda: t[n])) for n in names})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from chainlens.schema import SCHEMAS
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) as Spark resolves them: schemes and default file system included."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 class Tables:
     """Lazily built domain DataFrames, keyed by table name.
 
@@ -42,6 +47,13 @@ class Tables:
     def names(self) -> list[str]:
         return sorted(self._factories)
 
+    def with_factories(self, factories: dict[str, Callable[[], DataFrame]]) -> "Tables":
+        """A new bundle that builds the given tables by other factories, still lazily."""
+        out = Tables(self.spark, {**self._factories, **factories}, self.as_of)
+        if "raw" in self.__dict__:
+            out.raw = self.raw
+        return out
+
     def replace(self, **frames: DataFrame) -> "Tables":
         """A new bundle where the given tables are swapped for new frames."""
         fac = dict(self._factories)
@@ -64,8 +76,9 @@ def load_tables(spark: SparkSession, path: str, names=None, as_of=None) -> Table
     names = names or list(SCHEMAS)
     fac = {}
     for n in names:
-        p = os.path.join(path, f"{n}.parquet")
-        if os.path.exists(p) or "://" in path:
+        p = f"{path.rstrip('/')}/{n}.parquet"
+        fs, at = file_system(spark, p)
+        if fs.exists(at):
             fac[n] = (lambda p=p, n=n: spark.read.schema(SCHEMAS[n]).parquet(p))
     return Tables(spark, fac, as_of)
 

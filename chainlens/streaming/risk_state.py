@@ -1,33 +1,32 @@
 """E3 — the shared risk state machine as a Structured Streaming job.
 
 Key: (entity_type, entity_id, risk_type).  State: the number of open risks of that
-kind on that row (a count, not a flag: several can be open).  Events, processed in
-``seq`` order per key:
+kind on that row (a count, not a flag: several can be open).  Events, in ``seq`` order
+per key, closes before crossings of the same ``seq``:
 
+* ``close`` — an open risk of the key was resolved or deleted; count − 1, floor 0;
 * ``crossing`` — the trigger condition held (E1 / E2); a risk is created when the
-  count is 0, and the count goes up by one;
-* ``close`` — an open risk of the key was resolved or deleted; count − 1, floor 0.
-
-The initial count comes from the open risks in ``risk_event``, delivered as a ``seed``
-event that sorts before every real event of its key.  State never expires (the source
-system keeps open risks forever), so no timeout.  The job uses
-``applyInPandasWithState``: a key's state travels with its Arrow batch, which avoids the
-per-key state-server round trips of ``transformWithStateInPandas`` (about 30x slower
-here); :class:`RiskStateProcessor` is the same machine for that API.
-
-The change log is written key-partitioned (like a keyed message log): every key's
-events sit in one file, so a micro-batch holds a key's events completely and the
-processor only has to sort them by ``seq``; state still carries across batches.
+  count is 0, and the count goes up by one.
+
+The initial counts are the open risks in ``risk_event``.  State never expires (the
+source system keeps open risks forever).
+
+Each micro-batch is a plan of built-in functions: the batch's events per key are folded
+over the key's count by ``aggregate``, and counts and created risks are written under
+the batch's number (``foreachBatch``; a replayed batch writes the same folders again, so
+every risk is emitted once).  A key's events of one batch are a bounded list, because
+between two closes only the first crossing can create a risk and the others are dropped
+before the list is built.
+
+The change log is written in slices of ``seq``, one after the other, so a key crosses
+micro-batches and its state carries over.  Within a slice a key's events lie in one file;
+how many slices and files there are follows from the number of events.
 """
 
 from __future__ import annotations
 
-import os
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from chainlens.functions.predicates import as_of_lit
 from chainlens.schema import OPEN_STATUSES, RISK_DELAYED, RISK_LOW_STOCK
@@ -35,133 +34,126 @@ from chainlens.session import scratch_path
 from chainlens.streaming.triggers import inventory_candidates, shipment_candidates
 
 KEY = ["entity_type", "entity_id", "risk_type"]
-EVENT_SCHEMA = ("seq long, entity_type string, entity_id long, risk_type string, kind string, "
-                "risk_severity string, description string, n long")
+EVENT_SCHEMA = ("seq long, entity_type string, entity_id long, risk_type string, closes int, "
+                "risk_severity string, description string")
+COUNT_SCHEMA = "entity_type string, entity_id long, risk_type string, open_risks long"
 OUT_SCHEMA = "seq long, entity_type string, entity_id long, risk_type string, risk_severity string, description string"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def advance(open_count: int, events) -> tuple[int, list]:
-    """Apply one key's events (sorted by seq) to its open-risk count; return the new
-    count and the crossing events that create a risk."""
-    fired = []
-    for r in events:
-        if r.kind == "seed":            # open risks already in the table
-            open_count += int(r.n)
-        elif r.kind == "crossing":
-            if open_count == 0:         # no open risk of this kind: the trigger creates one
-                fired.append(r)
-                open_count = 1
-        elif r.kind == "close":
-            open_count = max(0, open_count - 1)
-    return open_count, fired
-
-
-_OUT_COLS = ["seq", "entity_type", "entity_id", "risk_type", "risk_severity", "description"]
-
-
-def _step(key, pdfs, state):
-    """applyInPandasWithState callback: the state (open count) travels with the group's
-    Arrow batch, so there is no per-key round trip to a state server.  Kept lean: most
-    groups hold one or two events."""
-    pdfs = list(pdfs)
-    pdf = pdfs[0] if len(pdfs) == 1 else pd.concat(pdfs, ignore_index=True)
-    if len(pdf) > 1:
-        pdf = pdf.sort_values("seq", kind="stable")
-    n = state.get[0] if state.exists else 0
-    kinds = pdf["kind"].to_numpy()
-    fired = []
-    for i in range(len(kinds)):
-        k = kinds[i]
-        if k == "seed":
-            n += int(pdf["n"].iat[i])
-        elif k == "crossing":
-            if n == 0:
-                fired.append(i)
-                n = 1
-        elif k == "close":
-            n = max(0, n - 1)
-    state.update((n,))
-    if fired:
-        yield pdf.iloc[fired][_OUT_COLS]
-
-
-class RiskStateProcessor(StatefulProcessor):
-    """The same state machine for ``transformWithStateInPandas`` (initial state via
-    ``initialState``); kept for jobs that need timers or TTL later."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open_count = handle.getValueState("open_count", "n long")
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.open_count.update((int(initialState["open_risks"].sum()),))
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        n = self.open_count.get()[0] if self.open_count.exists() else 0
-        n, fired = advance(n, pdf.itertuples(index=False))
-        self.open_count.update((n,))
-        yield pd.DataFrame([[getattr(r, c) for c in _OUT_COLS] for r in fired], columns=_OUT_COLS)
-
-    def close(self) -> None:
-        pass
-
-
-def trigger_events(t) -> DataFrame:
-    """Crossing events of both triggers from the change logs, in the stream's schema."""
-    inv = inventory_candidates(t.inventory_change)
-    sh = shipment_candidates(t.shipment_change)
-    return inv.unionByName(sh).select("seq", *KEY, F.lit("crossing").alias("kind"), "risk_severity",
-                                      "description", F.lit(None).cast("bigint").alias("n"))
+SLICES = 3                 # micro-batches at least, so that state is always carried
+ROWS_PER_FILE = 2_000_000
 
 
-def seed_events(initial: DataFrame) -> DataFrame:
-    """Initial open-risk counts as the first event of each key (seq below any real one)."""
-    return initial.select(F.lit(-1).cast("bigint").alias("seq"), *KEY, F.lit("seed").alias("kind"),
-                          F.lit(None).cast("string").alias("risk_severity"),
-                          F.lit(None).cast("string").alias("description"),
-                          F.col("open_risks").cast("bigint").alias("n"))
+def is_tracked() -> F.Column:
+    """The two kinds of risk that triggers create."""
+    return (((F.col("entity_type") == "Inventory") & (F.col("risk_type") == RISK_LOW_STOCK))
+            | ((F.col("entity_type") == "Shipment") & (F.col("risk_type") == RISK_DELAYED)))
 
 
 def initial_open_counts(risks: DataFrame) -> DataFrame:
-    kinds = (((F.col("entity_type") == "Inventory") & (F.col("risk_type") == RISK_LOW_STOCK))
-             | ((F.col("entity_type") == "Shipment") & (F.col("risk_type") == RISK_DELAYED)))
-    return (risks.filter(kinds & F.col("resolution_status").isin(*OPEN_STATUSES))
+    return (risks.filter(is_tracked() & F.col("resolution_status").isin(*OPEN_STATUSES))
             .groupBy(*KEY).agg(F.count(F.lit(1)).alias("open_risks")))
 
 
+def trigger_events(t) -> DataFrame:
+    """Crossing events of both triggers from the change logs, in the stream's schema."""
+    inv = inventory_candidates(t.inventory_change)
+    sh = shipment_candidates(t.shipment_change)
+    return inv.unionByName(sh).select("seq", *KEY, F.lit(0).alias("closes"), "risk_severity", "description")
+
+
+def close_events(t) -> DataFrame:
+    """One close per open risk that a request resolves or deletes, at its first request."""
+    first = t.risk_resolution.groupBy("risk_id").agg(F.min("seq").alias("seq"))
+    risks = t.risk_event.filter(is_tracked() & F.col("resolution_status").isin(*OPEN_STATUSES))
+    closed = risks.select("risk_id", *KEY).join(first, "risk_id")
+    # requests of one seq close together
+    return closed.groupBy("seq", *KEY).agg(F.count(F.lit(1)).cast("int").alias("closes")).select(
+        "seq", *KEY, "closes", F.lit(None).cast("string").alias("risk_severity"),
+        F.lit(None).cast("string").alias("description"))
+
+
+def _fold(events: str, before: str) -> F.Column:
+    """Struct (n, fired): the open count after ``events`` and the crossings that create a risk."""
+    none = F.array().cast("array<struct<seq:bigint,risk_severity:string,description:string>>")
+
+    def step(acc, e):
+        n, fired = acc.getField("n"), acc.getField("fired")
+        creates = (e.kind == 1) & (n == 0)
+        row = F.array(F.struct(e.seq.alias("seq"), e.risk_severity.alias("risk_severity"),
+                               e.description.alias("description")))
+        after = F.when(e.kind == 0, F.greatest(n - e.closes, F.lit(0))).when(creates, F.lit(1)).otherwise(n)
+        return F.struct(after.cast("bigint").alias("n"),
+                        F.when(creates, F.concat(fired, row)).otherwise(fired).alias("fired"))
+
+    start = F.struct(F.coalesce(F.col(before), F.lit(0)).cast("bigint").alias("n"), none.alias("fired"))
+    return F.aggregate(F.coalesce(F.col(events), F.array()), start, step)
+
+
+def _advance(events: DataFrame, counts: DataFrame) -> DataFrame:
+    """Fold one micro-batch over the counts: KEY, open_risks (new), fired."""
+    kind = F.when(F.col("closes") > 0, F.lit(0)).otherwise(F.lit(1))
+    x = events.withColumn("kind", kind)
+    # the epoch of an event is the closes before it; a crossing matters if it is its epoch's first
+    order = Window.partitionBy(*KEY).orderBy("seq", "kind")
+    x = x.withColumn("epoch", F.sum("closes").over(order))
+    first = (x.filter("kind = 1").groupBy(*KEY, "epoch")
+             .agg(F.min(F.struct("seq", "kind", "closes", "risk_severity", "description")).alias("e")))
+    kept = first.select(*KEY, "e").unionByName(x.filter("kind = 0").select(
+        *KEY, F.struct("seq", "kind", "closes", "risk_severity", "description").alias("e")))
+    per_key = kept.groupBy(*KEY).agg(F.array_sort(F.collect_list("e")).alias("events"))
+    both = counts.join(per_key, KEY, "full_outer").withColumn("f", _fold("events", "open_risks"))
+    return both.select(*KEY, F.col("f.n").alias("open_risks"), F.col("f.fired").alias("fired"))
+
+
+def write_log(events: DataFrame, path: str, slices: int = SLICES, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Write ``events`` in slices of ``seq``, oldest first; returns the files of a slice."""
+    spark = events.sparkSession
+    staged = scratch_path(spark, "risk-log")
+    events.write.parquet(staged)
+    log = spark.read.schema(EVENT_SCHEMA).parquet(staged)
+    stats = log.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("seq", [i / slices for i in range(1, slices)],
+                                                                       10_000).alias("cuts")).first()
+    files = max(1, -(-stats.n // (slices * rows_per_file)))
+    edges = [None, *sorted(set(stats.cuts or [])), None]
+    for low, high in zip(edges, edges[1:]):
+        part = log if low is None else log.filter(F.col("seq") > low)
+        part = part if high is None else part.filter(F.col("seq") <= high)
+        # appended one after the other: the stream reads files in the order they appeared
+        part.repartition(files, *KEY).write.mode("append").parquet(path)
+    return files
+
+
 def run_risk_state_stream(spark: SparkSession, events: DataFrame, initial: DataFrame, as_of,
-                          n_files: int = 2, state_partitions: int | None = None,
-                          state_store: str | None = ROCKSDB) -> DataFrame:
-    """Write the change log (seed events for the initial open counts + ``events``)
-    key-partitioned, run the stateful stream over it to completion (``availableNow``),
-    and return the emitted risks as a batch frame."""
-    if state_store:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", state_store)
+                          slices: int = SLICES, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Run the stream over the change log to completion (``availableNow``) and return the
+    created risks as a batch frame."""
     root = scratch_path(spark, "risk-state")
-    src, out, ckpt = (os.path.join(root, d) for d in ("source", "output", "checkpoint"))
-    log = seed_events(initial).unionByName(events)
-    log.repartition(n_files, *KEY).write.mode("error").parquet(src)
-    stream = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-              .groupBy(*KEY)
-              .applyInPandasWithState(_step, OUT_SCHEMA, "n long", "append", "NoTimeout"))
-    # The number of state partitions is fixed by the shuffle-partition setting when the
-    # query first starts (and recorded in the checkpoint).  Size it to the cluster's
-    # parallelism rather than a batch-tuned value, then restore the session setting.
-    key = "spark.sql.shuffle.partitions"
-    previous = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
-    try:
-        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-             .outputMode("append").trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(key, previous)
+    src, out, counts, ckpt = (f"{root}/{d}" for d in ("source", "output", "counts", "checkpoint"))
+    files = write_log(events, src, slices, rows_per_file)
+    initial.select(*KEY, F.col("open_risks").cast("bigint")).write.parquet(f"{counts}/v=0")
+
+    def batch(df: DataFrame, number: int) -> None:
+        session = df.sparkSession
+        before = session.read.schema(COUNT_SCHEMA).parquet(f"{counts}/v={number}")
+        step = f"{root}/steps/v={number}"
+        _advance(df, before).write.mode("overwrite").parquet(step)
+        done = session.read.parquet(step)
+        done.select(*KEY, "open_risks").write.mode("overwrite").parquet(f"{counts}/v={number + 1}")
+        done.select(*KEY, F.explode("fired").alias("e")).select(
+            F.col("e.seq").alias("seq"), *KEY, F.col("e.risk_severity").alias("risk_severity"),
+            F.col("e.description").alias("description")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files).parquet(src)
+    q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.schema(OUT_SCHEMA).parquet(out)
-    return res.select("seq", *KEY, "risk_severity", as_of_lit(as_of).alias("detected_date"), "description",
-                      F.lit("Open").alias("resolution_status"))
+    spark.createDataFrame([], OUT_SCHEMA).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    return spark.read.schema(OUT_SCHEMA).parquet(out).select(
+        "seq", *KEY, "risk_severity", as_of_lit(as_of).alias("detected_date"), "description",
+        F.lit("Open").alias("resolution_status"))
 
 
 def risk_state_stream(spark: SparkSession, t, as_of=None) -> DataFrame:
+    """Both triggers with the resolutions of the request log."""
     as_of = as_of if as_of is not None else t.as_of
-    return run_risk_state_stream(spark, trigger_events(t), initial_open_counts(t.risk_event), as_of)
+    events = trigger_events(t).unionByName(close_events(t))
+    return run_risk_state_stream(spark, events, initial_open_counts(t.risk_event), as_of)

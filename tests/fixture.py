@@ -41,6 +41,7 @@ ROWS = {
         (1004, 102, 1, 0, 0, D(2026, 1, 1), 5, "Out of Stock"),    # Critical
         (1005, 102, 2, 7, 0, D(2026, 1, 1), 5, "In Stock"),
         (1007, 100, 3, 3, 0, D(2026, 1, 1), 1, "In Stock"),        # ties with 1001 on quantity
+        (1008, 300, 3, 9, 0, D(2026, 1, 1), 1, "In Stock"),        # its product does not exist
     ],
     "shipment": [
         (5000, 100, 10, 5, D(2026, 2, 10), None, "In Transit", "Air"),    # 5 days overdue → Medium
@@ -70,6 +71,9 @@ ROWS = {
         (6, 2, 102, 1, "Urgent"),      # unknown priority → invalid
         (7, 2, 555, 1, "Low"),         # no stock rows
         (8, 2, 102, 7, "Critical"),    # 1005: 7 → 0, crosses its threshold
+        (9, 2, None, 1, "Low"),        # no product → rejected, not lost
+        (10, 2, 102, 8, "Low"),        # more than any row ever held
+        (11, 1, 300, 1, "Low"),        # stock of a product that does not exist
     ],
     "inventory_change": [
         (1, 1001, 12, 8, 10, 10),      # crosses → fires

@@ -12,10 +12,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from check_oracle import TABLES, rows_key  # noqa: E402
 
 import __spark_entry__ as E  # noqa: E402
+from chainlens.plans.registry import REGISTRY  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SQL = E.oracle_sql()
-SLOW = {"risk_state_stream"}
+SQL = {n: q.oracle() for n, q in REGISTRY.items()}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
-@pytest.mark.parametrize("name", [n for n in SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(SQL))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
@@ -46,6 +46,5 @@ def test_entry_smoke(spark):
     assert df.columns[0] == "inventory_id"
 
 
-def test_every_query_has_oracle_or_is_known_rows_only():
-    rows_only = set(E.queries()) - set(SQL)
-    assert rows_only <= {"order_allocation_invariants"}
+def test_every_query_has_an_oracle():
+    assert all(SQL.values()) and set(SQL) <= set(E.oracle_sql()) and set(SQL) <= set(E.queries())
