@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from chainlens.functions.predicates import as_of_lit
 from chainlens.functions.scalars import stock_status
 from chainlens.schema import DEFAULT_PRIORITY, ORDER_FULFIL_DAYS, PRIORITIES
-from chainlens.session import scratch_path
+from chainlens.session import written as table_written
 
 _OUT_SCHEMA = ("record string, seq long, product_id long, inventory_id long, status string, reason string, "
                "stock_before int, stock_after int, minimum_threshold int, company_id long, quantity int, "
@@ -164,13 +164,6 @@ def run_allocation(requests: DataFrame, inventory: DataFrame, companies: DataFra
     return early.unionByName(ordered.mapInPandas(_fold, _OUT_SCHEMA))
 
 
-def _written(t, folded: DataFrame) -> DataFrame:
-    """The fold's output as a table: it is read several times and must run once."""
-    path = scratch_path(t.spark, "allocation")
-    folded.write.parquet(path)
-    return t.spark.read.schema(folded.schema).parquet(path)
-
-
 def allocate_orders(t, requests: DataFrame | None = None, as_of=None, written: bool = False):
     """Returns (decisions, new orders, new inventory, stock changes); ``written`` runs the fold
     once for all of them."""
@@ -178,7 +171,7 @@ def allocate_orders(t, requests: DataFrame | None = None, as_of=None, written: b
     requests = requests if requests is not None else t.order_request
     folded = run_allocation(requests, t.inventory, t.company, t.product)
     if written:
-        folded = _written(t, folded)
+        folded = table_written(t.spark, folded, "allocation")
     decisions = folded.filter(F.col("record") == "request").select(
         "seq", "company_id", "product_id", "quantity", "priority", "status", "reason", "inventory_id", "stock_before",
         "stock_after")

@@ -16,8 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.functions.predicates import is_delayed_status, is_low_stock
+from chainlens.functions.predicates import is_delayed_status, is_low_stock, is_open
 from chainlens.operators.risks import risks_by_company
+from chainlens.session import written
 
 # Fixed section titles, in document order.
 SECTIONS = [
@@ -50,8 +51,22 @@ def _tenant_suppliers(t) -> DataFrame:
     return t.supplier.select("supplier_id", "company_id", "supplier_name")
 
 
-def context_lines(t) -> DataFrame:
-    """Body lines of the six list sections and the stats section, per tenant."""
+def _order_lines(o: DataFrame) -> DataFrame:
+    return _line("orders", o, F.col("_rank"),
+                 "- Order #", _s("order_id"), ": ", _s("product_name"), " x", _s("order_quantity"),
+                 ", status: ", _s("order_status"), ", priority: ", _s("priority_level"), ", date: ",
+                 _s("order_date"), ", company: ", _s("company_name"))
+
+
+def _risk_lines(r: DataFrame) -> DataFrame:
+    return _line("risks", r, F.col("_rank"),
+                 "- Risk #", _s("risk_id"), ": ", _s("risk_type"), " (", _s("risk_severity"), ") on ",
+                 _s("entity_type"), " #", _s("entity_id"), " — ", _s("description"), " [status: ",
+                 _s("resolution_status"), ", detected: ", _s("detected_date"), "]")
+
+
+def _tenant_lines(t, names) -> dict[str, DataFrame]:
+    """Lines of the named sections, per tenant.  Fixed values: the line formats."""
     comp = t.company
     companies = _line("companies", comp, F.col("company_id"),
                       "- ", _s("company_name"), " (", _s("industry"), ", ", _s("country"), ")")
@@ -77,10 +92,7 @@ def context_lines(t) -> DataFrame:
                                                    F.col("order_id").desc())
     o = (t.orders.join(pn, "product_id").join(cn, "company_id")
          .withColumn("_rank", F.row_number().over(w_o)).filter(F.col("_rank") <= RECENT_N))
-    orders = _line("orders", o, F.col("_rank"),
-                   "- Order #", _s("order_id"), ": ", _s("product_name"), " x", _s("order_quantity"),
-                   ", status: ", _s("order_status"), ", priority: ", _s("priority_level"), ", date: ",
-                   _s("order_date"), ", company: ", _s("company_name"))
+    orders = _order_lines(o)
 
     sh = (t.shipment.filter(is_delayed_status()).join(pn, "product_id")
           .join(_tenant_suppliers(t), "supplier_id"))
@@ -91,10 +103,7 @@ def context_lines(t) -> DataFrame:
     w_r = Window.partitionBy("company_id").orderBy(F.col("detected_date").desc_nulls_first(),
                                                    F.col("risk_id").desc())
     r = risks_by_company(t).withColumn("_rank", F.row_number().over(w_r)).filter(F.col("_rank") <= RECENT_N)
-    risks = _line("risks", r, F.col("_rank"),
-                  "- Risk #", _s("risk_id"), ": ", _s("risk_type"), " (", _s("risk_severity"), ") on ",
-                  _s("entity_type"), " #", _s("entity_id"), " — ", _s("description"), " [status: ",
-                  _s("resolution_status"), ", detected: ", _s("detected_date"), "]")
+    risks = _risk_lines(r)
 
     stats = context_stats(t)
     stats_lines = reduce(lambda a, b: a.unionByName(b), [
@@ -102,8 +111,14 @@ def context_lines(t) -> DataFrame:
               _s("products")),
         _line("stats", stats, F.lit(2), "- Your Orders: ", _s("orders"), ", Your Shipments: ",
               _s("shipments"))])
-    return reduce(lambda a, b: a.unionByName(b),
-                  [companies, suppliers, low_stock, orders, delayed, risks, stats_lines])
+    every = {"companies": companies, "suppliers": suppliers, "low_stock": low_stock, "orders": orders, "delayed": delayed,
+             "risks": risks, "stats": stats_lines}
+    return {n: every[n] for n in names}
+
+
+def context_lines(t) -> DataFrame:
+    """Body lines of the six list sections and the stats section, per tenant."""
+    return reduce(lambda a, b: a.unionByName(b), _tenant_lines(t, [s for _, s, _ in SECTIONS]).values())
 
 
 def context_stats(t) -> DataFrame:
@@ -121,28 +136,85 @@ def context_stats(t) -> DataFrame:
     return x.fillna(0, subset=["suppliers", "products", "orders", "shipments"])
 
 
+GLOBAL_STATS_TITLE = "## Summary Stats (Global)"
+
+
+def context_stats_global(t) -> DataFrame:
+    """A7 (global form): one row of seven counts."""
+    from chainlens.operators.kpis import count, single_row
+
+    return single_row(t, companies=count(t.company), suppliers=count(t.supplier), products=count(t.product),
+                      warehouses=count(t.warehouse), orders=count(t.orders), shipments=count(t.shipment),
+                      open_risks=count(t.risk_event.filter(is_open())))
+
+
+def context_lines_global(t) -> DataFrame:
+    """C1 (admin form): the lines of all tenants, the 15 newest orders and risks of all, and the
+    global stats block; ``company_id`` is NULL."""
+    nobody = F.lit(None).cast("bigint").alias("company_id")
+    same = _tenant_lines(t, ("companies", "suppliers", "low_stock", "delayed"))
+    newest = t.orders.join(t.product.select("product_id", "product_name"), "product_id").join(
+        t.company.select("company_id", "company_name"), "company_id")
+    newest = newest.orderBy(F.col("order_date").desc_nulls_first(), F.col("order_id").desc()).limit(RECENT_N)
+    rank = F.row_number().over(Window.orderBy(F.col("order_date").desc_nulls_first(), F.col("order_id").desc()))
+    orders = _order_lines(newest.withColumn("_rank", rank))          # 15 rows
+    latest = t.risk_event.orderBy(F.col("detected_date").desc_nulls_first(), F.col("risk_id").desc()).limit(RECENT_N)
+    rank = F.row_number().over(Window.orderBy(F.col("detected_date").desc_nulls_first(), F.col("risk_id").desc()))
+    risks = _risk_lines(latest.withColumn("_rank", rank).withColumn("company_id", F.lit(None).cast("bigint")))
+    stats = context_stats_global(t).withColumn("company_id", F.lit(None).cast("bigint"))
+    block = [
+        _line("stats", stats, F.lit(1), "- Companies: ", _s("companies"), ", Suppliers: ", _s("suppliers"), ", Products: ",
+              _s("products")),
+        _line("stats", stats, F.lit(2), "- Warehouses: ", _s("warehouses"), ", Orders: ", _s("orders"), ", Shipments: ",
+              _s("shipments")),
+        _line("stats", stats, F.lit(3), "- Open/Investigating Risks: ", _s("open_risks"))]
+    lines = reduce(lambda a, b: a.unionByName(b), [*same.values(), orders, risks, *block])
+    return lines.select(nobody, "section_order", "section", "line_key", "line")
+
+
+def context_document_global(t) -> DataFrame:
+    """C2 (admin form): the one document over all tenants, as ordered lines."""
+    titles = [(o, s, GLOBAL_STATS_TITLE if s == "stats" else title) for o, s, title in SECTIONS]
+    return _document(t, context_lines_global(t), titles)
+
+
 def context_document(t) -> DataFrame:
-    """The full document per tenant as ordered lines: a title line per non-empty
-    section, its body, and a blank line between sections (``line_key`` −1 = title,
-    section_order + 0.5 = separator).  Tenants with no section get the single
-    "No data available." line."""
-    body = context_lines(t)
-    present = body.select("company_id", "section_order", "section").distinct()
-    titles = present.join(
-        t.spark.createDataFrame([(o, s, title) for o, s, title in SECTIONS],
-                                "section_order int, section string, title string"),
-        ["section_order", "section"])
-    title_lines = titles.select("company_id", "section_order", "section", F.lit(-1).cast("bigint").alias("line_key"),
-                                F.col("title").alias("line"))
-    first = present.groupBy("company_id").agg(F.min("section_order").alias("_first"))
-    seps = (present.join(first, "company_id").filter(F.col("section_order") > F.col("_first"))
-            .select("company_id", "section_order", "section", F.lit(-2).cast("bigint").alias("line_key"),
-                    F.lit("").alias("line")))
-    empty = (t.company.select("company_id").join(present.select("company_id").distinct(), "company_id",
-                                                 "left_anti")
+    """The full document per tenant as ordered lines: a title line per non-empty section
+    (``line_key`` −1), before it a blank line unless it is the first (``line_key`` −2), and
+    its body.  Tenants with no section get the single "No data available." line."""
+    body, titles = context_lines(t), SECTIONS
+    lines = _document(t, body, titles)
+    empty = (t.company.select("company_id").join(lines.select("company_id").distinct(), "company_id", "left_anti")
              .select("company_id", F.lit(0).alias("section_order"), F.lit("none").alias("section"),
                      F.lit(0).cast("bigint").alias("line_key"), F.lit(NO_DATA).alias("line")))
-    return reduce(lambda a, b: a.unionByName(b), [seps, title_lines, body, empty])
+    return lines.unionByName(empty)
+
+
+def prompt_preamble(t) -> DataFrame:
+    """C4's first turn per tenant as ordered lines: the heading, the tenant's document and the
+    line that names the user's role and company (``section_order`` −1 and 99)."""
+    def frame(order: int, section: str, key: int, line: Column) -> DataFrame:
+        return t.company.select("company_id", F.lit(order).alias("section_order"), F.lit(section).alias("section"),
+                                F.lit(key).cast("bigint").alias("line_key"), line.alias("line"))
+
+    role = F.concat(F.lit("User's role: company, Company ID: "), F.col("company_id").cast("string"))
+    return reduce(lambda a, b: a.unionByName(b), [
+        frame(-1, "heading", 0, F.lit("# Live Database Context")), frame(-1, "heading", 1, F.lit("")), context_document(t),
+        frame(99, "role", 0, F.lit("")), frame(99, "role", 1, F.lit("---")), frame(99, "role", 2, role)])
+
+
+def _document(t, lines: DataFrame, titles) -> DataFrame:
+    """Title and separator lines around ``lines``, which are written once and read three times."""
+    body = written(t.spark, lines, "context")
+    sections = t.spark.createDataFrame([tuple(x) for x in titles], "section_order int, section string, title string")
+    present = body.groupBy("company_id", "section_order", "section").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    title_lines = present.join(sections, ["section_order", "section"]).select(
+        "company_id", "section_order", "section", F.lit(-1).cast("bigint").alias("line_key"), F.col("title").alias("line"))
+    first = present.groupBy(F.col("company_id").alias("_cid")).agg(F.min("section_order").alias("_first"))
+    seps = (present.join(first, F.col("company_id").eqNullSafe(F.col("_cid"))).filter(F.col("section_order") > F.col("_first"))
+            .select("company_id", "section_order", "section", F.lit(-2).cast("bigint").alias("line_key"),
+                    F.lit("").alias("line")))
+    return seps.unionByName(title_lines).unionByName(body)
 
 
 def assemble_documents(lines: DataFrame) -> DataFrame:

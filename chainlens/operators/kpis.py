@@ -26,11 +26,11 @@ def _scalar(df: DataFrame, agg) -> F.Column:
     return df.agg(agg).scalar()
 
 
-def _count(df: DataFrame, cond=None) -> F.Column:
+def count(df: DataFrame, cond=None) -> F.Column:
     return _scalar(df, F.count(F.lit(1)) if cond is None else F.count_if(cond))
 
 
-def _single_row(t, **cols) -> DataFrame:
+def single_row(t, **cols) -> DataFrame:
     """One row of scalar subqueries; conditional counts over one table share a scan
     (MergeScalarSubqueries), and no 1 × 1 cross join is planned."""
     return t.spark.range(1).select(*[c.alias(n) for n, c in cols.items()])
@@ -40,15 +40,15 @@ def kpi_summary(t, as_of=None) -> DataFrame:
     """A1 (global): the nine dashboard counts as one row.
 
     Differently filtered counts over one table are one conditional aggregate (one
-    scan); the per-table single-row results are cross-joined (1 × 1 rows)."""
+    scan); every count is a scalar subquery of one row."""
     as_of = as_of if as_of is not None else t.as_of
-    return _single_row(
-        t, total_companies=_count(t.company), total_suppliers=_count(t.supplier),
-        total_products=_count(t.product), total_warehouses=_count(t.warehouse),
-        total_orders=_count(t.orders), total_shipments=_count(t.shipment),
-        low_inventory_alerts=_count(t.inventory, is_low_stock()),
-        delayed_shipment_alerts=_count(t.shipment, is_overdue(as_of)),
-        open_risks=_count(t.risk_event, is_open())).select(*KPI_COLS)
+    return single_row(
+        t, total_companies=count(t.company), total_suppliers=count(t.supplier),
+        total_products=count(t.product), total_warehouses=count(t.warehouse),
+        total_orders=count(t.orders), total_shipments=count(t.shipment),
+        low_inventory_alerts=count(t.inventory, is_low_stock()),
+        delayed_shipment_alerts=count(t.shipment, is_overdue(as_of)),
+        open_risks=count(t.risk_event, is_open())).select(*KPI_COLS)
 
 
 def _per_supplier_shipments(t, as_of) -> DataFrame:
@@ -102,10 +102,10 @@ def kpi_by_company(t, as_of=None) -> DataFrame:
     return x.select(
         "company_id", F.lit(1).cast("bigint").alias("total_companies"),
         F.col("n_sup").alias("total_suppliers"), F.col("n_products").alias("total_products"),
-        _count(t.warehouse).alias("total_warehouses"), F.col("n_orders").alias("total_orders"),
+        count(t.warehouse).alias("total_warehouses"), F.col("n_orders").alias("total_orders"),
         F.col("n_ship").alias("total_shipments"), F.col("n_low").alias("low_inventory_alerts"),
         F.col("n_overdue").alias("delayed_shipment_alerts"),
-        _count(t.risk_event, is_open()).alias("open_risks"),
+        count(t.risk_event, is_open()).alias("open_risks"),
         F.col("n_open_scoped").alias("open_risks_scoped"))
 
 
@@ -243,9 +243,9 @@ def pipeline_stages(t, cid=ALL, as_of=None, status=None, q=None) -> DataFrame:
     inv_low = scope(t.inventory.filter(is_low_stock()).join(t.product.select("product_id", "supplier_id"),
                                                             "product_id").join(ps, "supplier_id"), cid)
     overdue = scope(t.shipment.filter(is_overdue(as_of)).join(ps, "supplier_id"), cid)
-    counts = _single_row(t, companies=_count(comp), suppliers=_count(sup), products=_count(prod),
-                         warehouses=_count(t.warehouse), shipments=_count(ship), low=_count(inv_low),
-                         late=_count(overdue))
+    counts = single_row(t, companies=count(comp), suppliers=count(sup), products=count(prod),
+                         warehouses=count(t.warehouse), shipments=count(ship), low=count(inv_low),
+                         late=count(overdue))
     return counts.select(F.expr(
         "stack(5,"
         " 1, 'companies', companies, companies, 0L, 0L,"
@@ -269,8 +269,8 @@ def alert_counts(t, as_of=None, cid=ALL, status=None, severity=None, q=None) ->
         .filter(search(q, "product_name", "company_name"))
     rk = (risks.filter(value_in("risk_severity", severity)).filter(value_in("resolution_status", status))
           .filter(search(q, "description", "risk_type")))
-    return _single_row(t, low_stock=_count(low), delayed=_count(late), orders=_count(orders),
-                       risks=_count(rk), open_risks=_count(rk, is_open()))
+    return single_row(t, low_stock=count(low), delayed=count(late), orders=count(orders),
+                       risks=count(rk), open_risks=count(rk, is_open()))
 
 
 # Fixed message texts of the dashboard insight banners.

@@ -471,6 +471,63 @@ WHERE company_id NOT IN (SELECT company_id FROM present)""",
                "present": "SELECT DISTINCT company_id, section_order, section FROM body"})(
     lambda t: context.context_document(t))
 
+_DOCUMENT = f"""
+SELECT company_id, section_order, section, line_key, line FROM body
+UNION ALL
+SELECT company_id, section_order, section, -1, CASE section_order {_TITLES} END FROM present
+UNION ALL
+SELECT p.company_id, p.section_order, p.section, -2, '' FROM present p
+WHERE p.section_order > (SELECT MIN(q.section_order) FROM present q WHERE q.company_id IS NOT DISTINCT FROM p.company_id)"""
+
+GLOBAL_STATS_SQL = """
+SELECT (SELECT COUNT(*) FROM d_company) AS companies, (SELECT COUNT(*) FROM d_supplier) AS suppliers,
+       (SELECT COUNT(*) FROM d_product) AS products, (SELECT COUNT(*) FROM d_warehouse) AS warehouses,
+       (SELECT COUNT(*) FROM d_orders) AS orders, (SELECT COUNT(*) FROM d_shipment) AS shipments,
+       (SELECT COUNT(*) FROM d_risk_event WHERE resolution_status IN ('Open', 'Investigating')) AS open_risks"""
+register("context_stats_global", GLOBAL_STATS_SQL)(lambda t: context.context_stats_global(t))
+
+_NEWEST_ORDERS = """
+SELECT NULL AS company_id, x.* EXCLUDE (company_id), row_number() OVER (ORDER BY order_date DESC NULLS FIRST, order_id DESC) AS rk
+FROM (SELECT o.*, product_name, company_name FROM d_orders o JOIN d_product USING (product_id)
+      JOIN d_company USING (company_id)) x QUALIFY rk <= 15"""
+_NEWEST_RISKS = """
+SELECT NULL AS company_id, r.*, row_number() OVER (ORDER BY detected_date DESC NULLS FIRST, risk_id DESC) AS rk
+FROM d_risk_event r QUALIFY rk <= 15"""
+
+
+def _body_of(section: str, source: str) -> str:
+    """The tenant form's line texts over another source of rows."""
+    head, _, _ = CONTEXT_SECTION_SQL[section].partition("\nFROM ")
+    return f"{head} FROM ({source}) g"
+
+
+_GLOBAL_LINES = "\nUNION ALL\n".join(_named_section(q) for q in [
+    *(CONTEXT_SECTION_SQL[n] for n in ("companies", "suppliers", "low_stock", "delayed")),
+    _body_of("orders", _NEWEST_ORDERS), _body_of("risks", _NEWEST_RISKS), """
+SELECT NULL, 7, 'stats', 1, format('- Companies: {}, Suppliers: {}, Products: {}', companies, suppliers, products) FROM gstats
+UNION ALL
+SELECT NULL, 7, 'stats', 2, format('- Warehouses: {}, Orders: {}, Shipments: {}', warehouses, orders, shipments) FROM gstats
+UNION ALL
+SELECT NULL, 7, 'stats', 3, format('- Open/Investigating Risks: {}', open_risks) FROM gstats"""])
+register("context_document_global", _DOCUMENT.replace(context.SECTIONS[-1][2], context.GLOBAL_STATS_TITLE), ctes={
+    "gstats": GLOBAL_STATS_SQL,
+    "body": f"SELECT CAST(NULL AS BIGINT) AS company_id, section_order, section, line_key, line FROM ({_GLOBAL_LINES}) u",
+    "present": "SELECT DISTINCT company_id, section_order, section FROM body"})(lambda t: context.context_document_global(t))
+
+register("prompt_preamble", f"""
+{_DOCUMENT}
+UNION ALL
+SELECT company_id, 0, 'none', 0, '{context.NO_DATA}' FROM d_company WHERE company_id NOT IN (SELECT company_id FROM present)
+UNION ALL
+SELECT company_id, f.o, f.section, f.k, f.line || CASE f.k WHEN 2 THEN company_id::VARCHAR ELSE '' END
+FROM d_company, (VALUES (-1, 'heading', 0, '# Live Database Context'), (-1, 'heading', 1, ''), (99, 'role', 0, ''),
+                        (99, 'role', 1, '---'), (99, 'role', 2, 'User''s role: company, Company ID: ')) f(o, section, k, line)""",
+         ctes={**_CTX_CTES,
+               "body": "SELECT company_id, section_order, section, CAST(line_key AS BIGINT) AS line_key, line "
+                       f"FROM ({_ALL_LINES}) u",
+               "present": "SELECT DISTINCT company_id, section_order, section FROM body"})(
+    lambda t: context.prompt_preamble(t))
+
 CONV_PAIRS_SQL = """
 SELECT conv_id, user_turn, user_text, assistant_text, CAST(7 - r AS INTEGER) AS pair_no FROM (
   SELECT conv_id, turn AS user_turn, text AS user_text,

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every chainlens job relies on.  AQE re-plans joins (broadcast only when the
 # runtime size is below the threshold), coalesces small shuffle partitions and splits
@@ -59,6 +59,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder, for plans that read it several times."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder."""
     root = checkpoint_root(spark)

@@ -17,6 +17,7 @@ from chainlens.schema import RAW_SCHEMAS
 from chainlens.sources.tables import Tables
 
 AS_OF = datetime.date(1998, 6, 15)
+STATUS_SLICE = 1_000_000     # events of one window of the status log
 
 
 def _null(type_name: str) -> Column:
@@ -290,10 +291,18 @@ class StarMapping:
                                           "signup": "Cancelled"})
         x = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("shipment_id"),
                      new.alias("new_status"))
-        w = Window.partitionBy("shipment_id").orderBy("seq")
-        x = x.select("*", F.lag("new_status").over(w).alias("old_status"),
-                     F.row_number().over(w).alias("rn"))
-        return x.filter(F.col("rn") > 1).select("seq", "shipment_id", "old_status", "new_status")
+        # a user may hold a third of the log: windows span one slice of it, and the first row of
+        # a slice takes the last status of the slice before
+        x = x.withColumn("slice", F.floor(F.col("seq") / STATUS_SLICE))
+        w = Window.partitionBy("shipment_id", "slice").orderBy("seq")
+        inner = x.select("*", F.lag("new_status").over(w).alias("inner_old"), F.row_number().over(w).alias("rn"))
+        ends = x.groupBy("shipment_id", "slice").agg(F.max_by("new_status", "seq").alias("last"))
+        before = Window.partitionBy("shipment_id").orderBy("slice")
+        starts = ends.select("shipment_id", "slice", F.lag("last").over(before).alias("outer_old"),
+                             F.row_number().over(before).alias("slice_no"))
+        y = inner.join(starts, ["shipment_id", "slice"]).filter("rn > 1 OR slice_no > 1")
+        return y.select("seq", "shipment_id", F.when(F.col("rn") > 1, F.col("inner_old")).otherwise(F.col("outer_old"))
+                        .alias("old_status"), "new_status")
 
     def risk_resolution(self) -> DataFrame:
         """Resolve/delete requests from the event log; about one in eleven ids dangles."""
