@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chainlens.llm.scratch import table
 
 MARK = "▁"
-MAX_NODES = 1_500_000
+MAX_NODES = 400_000
 LONG_WORD = 256
 BYTE_PENALTY = 10.0
 
