@@ -70,7 +70,7 @@ def similar(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int
 
 
 def _open(spark: SparkSession, members: DataFrame) -> DataFrame:
-    """The members (bkey, node, n, c) of buckets that hold more than one component."""
+    """The members (bkey, node, n, least, c) of buckets that hold more than one component."""
     mixed = members.groupBy("bkey").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bkey")
     return keep(spark, members.join(mixed, "bkey"), "open")
 
@@ -90,10 +90,9 @@ def _peel(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int
             .filter("lo < hi").select("g", "df")
         able = (grams.join(crossing, "g").groupBy("node").agg(F.count("*").alias("u"), (F.sum("df") / F.max("n")).alias("w")))
         able = keep(spark, able, "able")
-        least = members.groupBy("bkey").agg(F.min("n").alias("least"))
-        left = members.select("bkey", "node", "n", "c").join(able, "node").join(least, "bkey").filter(
+        left = members.select("bkey", "node", "n", "least", "c").join(able, "node").filter(
             (100 + percent) * F.col("u") >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))))
-        left = _open(spark, left.select("bkey", "node", "n", "c", "w"))
+        left = _open(spark, left.select("bkey", "node", "n", "least", "c", "w"))
         before, after = members.count(), left.count()
         discard(spark, grams, able, members)
         members = left
@@ -110,8 +109,7 @@ def _prefix_pairs(spark: SparkSession, members: DataFrame, sets: DataFrame, perc
     possible partner asks for.  Shingles that occur in one component only are common to no such
     pair; they come first and are counted off.
     """
-    least = members.groupBy("bkey").agg(F.min("n").alias("least"))
-    nodes = members.join(least, "bkey").groupBy("node", "n", "c").agg(
+    nodes = members.groupBy("node", "n", "c").agg(
         F.min(F.greatest("least", F.ceil(F.col("n") * percent / 100))).alias("least"))
     need = F.ceil(percent * (F.col("n") + F.col("least")) / (100 + percent))
     nodes = nodes.select("node", "n", "c", (F.col("n") - need + 1).alias("front"))
@@ -157,8 +155,9 @@ def _merge(spark: SparkSession, comp: DataFrame | None, links: DataFrame) -> Dat
 def linked_components(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) over the verified links within buckets; nodes without a link are absent.
 
-    ``members``: (bkey, node, n), written, each bucket of two nodes or more; ``sets``:
-    (node, grams), written, with the sorted 64-bit shingles.
+    ``members``: (bkey, node, n, least), written, each bucket of two nodes or more, with the sizes of
+    the node's set and of the bucket's smallest; ``sets``: (node, grams), written, with the
+    sorted 64-bit shingles.
     """
     hubs = keep(spark, members.groupBy("bkey").agg(F.min("node").alias("hub")), "hubs")
     pairs = members.join(hubs, "bkey").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -167,7 +166,7 @@ def linked_components(spark: SparkSession, members: DataFrame, sets: DataFrame,
     found, m = True, members
     used = hubs.select("bkey", F.col("hub").alias("node"))
     for turn in range(1, HUB_ROUNDS + 1):
-        m = m.select("bkey", "node", "n").join(comp.withColumnRenamed("comp", "c"), "node", "left") \
+        m = m.select("bkey", "node", "n", "least").join(comp.withColumnRenamed("comp", "c"), "node", "left") \
             .withColumn("c", F.coalesce("c", "node"))
         m = _open(spark, m)
         if anything(m):

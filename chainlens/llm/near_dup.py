@@ -78,14 +78,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     nodes = some.join(keep(spark, extra, "extra"), "row", "left_anti")
 
     keys = nodes.select(F.explode("bands").alias("bkey"), F.col("row").alias("node"), F.col("n_shingles").alias("n"))
-    shared = keep(spark, keys.groupBy("bkey").agg(F.count("*").alias("m")).filter("m > 1").select("bkey"), "shared")
+    shared = keep(spark, keys.groupBy("bkey").agg(F.count("*").alias("m"), F.min("n").alias("least"))
+                  .filter("m > 1").select("bkey", "least"), "shared")
     members = keep(spark, keys.join(shared, "bkey"), "members")
 
     # full sets of the nodes that share a bucket, built again from their texts
     wanted = (members.select("node").distinct()
               .join(nodes.select(F.col("row").alias("node"), "doc_id", F.col("f1").alias("w1"), F.col("f2").alias("w2")),
                     "node"))
-    sets = keep(spark, texts.join(wanted.withColumnRenamed("doc_id", "want"), texts.doc_id.eqNullSafe(F.col("want")))
+    # the wanted grow with the input, so they are merged and not broadcast at any size
+    sets = keep(spark, texts.join(wanted.withColumnRenamed("doc_id", "want").hint("merge"), texts.doc_id.eqNullSafe(F.col("want")))
                 .select("node", "w1", "w2", "text")
                 .mapInArrow(_sets, "node long, w1 long, w2 long, f1 long, f2 long, grams array<long>")
                 .filter("f1 = w1 AND f2 = w2").select("node", "grams").dropDuplicates(["node"]), "sets")
@@ -109,7 +111,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null ``doc_id`` stay.
     """
     drop = near_duplicates(spark, docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    return docs.join(drop.hint("merge"), "doc_id", "left_anti")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

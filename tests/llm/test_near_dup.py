@@ -88,7 +88,8 @@ def test_rounds_are_exact_for_any_bucket(spark):
     """All members in one bucket: hubs, peeling and the last comparison find every link."""
     rows = rows_of_edits()
     sets = {i: shingle_set(t) for i, (_, t) in enumerate(rows) if len(shingle_set(t))}
-    members = spark.createDataFrame([(1, i, len(s)) for i, s in sets.items()], "bkey long, node long, n int")
+    least = min(map(len, sets.values()))
+    members = spark.createDataFrame([(1, i, len(s), least) for i, s in sets.items()], "bkey long, node long, n int, least int")
     grams = spark.createDataFrame([(i, [int(x) for x in s.view(np.int64)]) for i, s in sets.items()], "node long, grams array<long>")
     comp = {r.node: r.comp for r in linked_components(spark, members, grams, 75).collect()}
     want = brute(rows)
