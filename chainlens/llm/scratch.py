@@ -15,10 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROW_GROUP = 16 << 20
 
 
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a fresh folder of ``spark.checkpoint.dir`` and read it back."""
     path = scratch_path(spark, f"llm-{name}")
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")      # the table replaces the shuffles that made it
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
