@@ -80,7 +80,7 @@ class Circulant:
 
     def band_keys(self, signatures: np.ndarray) -> np.ndarray:
         """One 64-bit key per band; ``signatures`` is (..., coords)."""
-        s = signatures.reshape(*signatures.shape[:-1], -1, self.rows).astype(np.uint64)
+        s = signatures.reshape(*signatures.shape[:-1], self.coords // self.rows, self.rows).astype(np.uint64)
         key = np.broadcast_to(self.salt, s.shape[:-1]).copy()
         for j in range(self.rows):
             key = mix(key * _ODD[j] + s[..., j])
