@@ -111,7 +111,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null ``doc_id`` stay.
     """
     drop = near_duplicates(spark, docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(drop.hint("merge"), "doc_id", "left_anti")
+    drop = drop.withColumnRenamed("doc_id", "_dropped").hint("merge")
+    return docs.join(drop, docs["doc_id"] == F.col("_dropped"), "left_anti")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
