@@ -20,6 +20,7 @@ alike; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chainlens.llm.scratch import table
 
 MARK = "▁"
-MAX_NODES = 400_000
+MAX_NODES = 600_000     # about 200 MB of a task
 LONG_WORD = 256
 BYTE_PENALTY = 10.0
 
@@ -49,15 +50,21 @@ def vocabulary(path: str | None = None) -> dict[str, float]:
 class Trie(dict):
     """Maps a word to (pieces, score); missing words are inserted.
 
-    A node is a dict of its children; under the empty key it holds the best score and the
-    number of pieces of the prefix that leads to it.
+    A node is a dict of its children; under the empty key it holds the best score and minus the
+    number of pieces of the prefix that leads to it.  ``endings`` is a trie of the vocabulary read
+    backwards, so a step looks only at pieces that the prefix ends in.
     """
 
     def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES):
         super().__init__()
-        self.scores, self.max_nodes = scores, max_nodes
-        self.longest = max(map(len, scores), default=1)
+        self.max_nodes = max_nodes
         self.byte = min(scores.values(), default=0.0) - BYTE_PENALTY
+        self.endings: dict = {}
+        for piece, score in scores.items():
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = score
         self.steps = 0
         self.clear()
 
@@ -68,18 +75,26 @@ class Trie(dict):
     def step(self, s: str, end: int, best: list[tuple[float, int]]) -> tuple[float, int]:
         """Best (score, -pieces) of the first ``end`` characters from those of shorter prefixes."""
         self.steps += 1
-        get = self.scores.get
-        size = len(s[end - 1].encode("utf-8", "surrogatepass"))
-        score, pieces = best[end - 1]
-        one = get(s[end - 1])
-        top = (score + one, pieces - 1) if one is not None else (score + size * self.byte, pieces - size)
-        for start in range(max(0, end - self.longest), end - 1):
-            v = get(s[start:end])
+        start = end - 1
+        node = self.endings.get(s[start])
+        if node is None or "" not in node:      # no piece of its own: its bytes
+            size = len(s[start].encode("utf-8", "surrogatepass"))
+            top, pieces = best[start]
+            top, pieces = top + size * self.byte, pieces - size
+        else:
+            top, pieces = float("-inf"), 0
+        while node is not None:
+            v = node.get("")
             if v is not None:
-                score, pieces = best[start]
-                if (score + v, pieces - 1) > top:
-                    top = (score + v, pieces - 1)
-        return top
+                score, n = best[start]
+                score += v
+                if score > top or score == top and n - 1 > pieces:
+                    top, pieces = score, n - 1
+            if not start:
+                break
+            start -= 1
+            node = node.get(s[start])
+        return top, pieces
 
     def __missing__(self, word: str) -> tuple[int, float]:
         s = MARK + word
@@ -115,15 +130,20 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str | None = None)
 
     def count(batches):
         trie = Trie(shared.value)
-        for b in batches:
-            n_words, n_tokens, scores = [], [], []
-            for text in b.column(1):
-                got = [trie[w] for w in WORD.findall(text.as_py() or "")]
-                n_words.append(len(got))
-                n_tokens.append(sum(n for n, _ in got))
-                scores.append(round(math.fsum(s for _, s in got), 6))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64()),
-                                              pa.array(scores, pa.float64())], ["doc_id", "n_words", "n_tokens", "score"])
+        gc.disable()      # the trie has no cycles, and its nodes would be walked again and again
+        try:
+            for b in batches:
+                n_words, n_tokens, scores = [], [], []
+                for text in b.column(1):
+                    got = list(map(trie.__getitem__, WORD.findall(text.as_py() or "")))
+                    pieces, best = zip(*got) if got else ((), ())
+                    n_words.append(len(got))
+                    n_tokens.append(sum(pieces))
+                    scores.append(round(math.fsum(best), 6))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64()),
+                                                  pa.array(scores, pa.float64())], ["doc_id", "n_words", "n_tokens", "score"])
+        finally:
+            gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_words long, n_tokens long, score double")
 
