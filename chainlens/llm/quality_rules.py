@@ -213,7 +213,11 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the base rules and the decision list keep."""
-    return judge(spark, docs, table(spark, sf_dir, "labels")).filter("kept").select("doc.*")
+    judged = judge(spark, docs, table(spark, sf_dir, "labels"))
+    # beside a column that is not deterministic the filter stays above the measures; pushed below
+    # them it would hold each measure's whole expression once per use
+    numbered = judged.select("doc", "kept", F.monotonically_increasing_id().alias("at"))
+    return numbered.filter("kept AND at >= 0").select("doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
