@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from chainlens.llm.scratch import anything, discard, keep
 from chainlens.llm.shingles import overlap
 
-HUB_ROUNDS = 3
-PEELS = 3
+HUB_ROUNDS = 2
+PEELS = 2
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
