@@ -62,11 +62,10 @@ def _sets(batches):
              pa.array(grams, pa.list_(pa.int64()))], ["node", "w1", "w2", "f1", "f2", "grams"])
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    texts = docs.select("doc_id", "text")
-    signed = keep(spark, texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-                  .mapInArrow(_sign, SIGNED), "signed")
+def _components(spark: SparkSession, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signed ``rows`` (row, doc_id, text), and (row, doc_id, comp) of those with a set."""
+    texts = rows.select("doc_id", "text")
+    signed = keep(spark, rows.select("row", "doc_id", "text").mapInArrow(_sign, SIGNED), "signed")
     some = signed.filter("n_shingles > 0")
 
     # equal sets: the group's node is its smallest row
@@ -95,6 +94,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     comp = linked_components(spark, members, sets, percent)
     placed = keep(spark, named.select("row", "doc_id", "node").join(comp, "node", "left")
                   .select("row", "doc_id", F.coalesce("comp", "node").alias("comp")), "placed")
+    return signed, placed
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    signed, placed = _components(spark, docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), percent)
     # most documents are alone: only components of two rows or more need a name
     heads = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
     heads = keep(spark, heads.filter("m > 1").drop("m"), "heads")
@@ -106,13 +111,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that :func:`near_duplicates` keeps, columns unchanged.
+    """Pipeline stage: one row of each component, columns unchanged.
 
-    Rows with a null ``doc_id`` stay.
+    That is the row of the smallest id, and of rows that repeat this id the first.  Rows with a null
+    ``doc_id`` come last.
     """
-    drop = near_duplicates(spark, docs).filter("NOT kept").select("doc_id").distinct()
-    drop = drop.withColumnRenamed("doc_id", "_dropped").hint("merge")
-    return docs.join(drop, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = keep(spark, docs.select(F.monotonically_increasing_id().alias("row"), whole), "near-rows")
+    _, placed = _components(spark, rows.select("row", "doc.doc_id", "doc.text"), PERCENT)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    heads = placed.groupBy("comp").agg(first.alias("first"), F.count("*").alias("m")).filter("m > 1")
+    drop = placed.select("row", "comp").join(keep(spark, heads.select("comp", F.col("first.row").alias("keep_row")), "heads"), "comp")
+    drop = drop.filter("row != keep_row").select("row").hint("merge")
+    return rows.join(drop, "row", "left_anti").select("doc.*")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

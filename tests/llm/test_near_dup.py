@@ -5,7 +5,7 @@ import numpy as np
 from chainlens.llm import near_dup
 from chainlens.llm.links import linked_components
 from chainlens.llm.shingles import Circulant, shingle_set
-from tests.llm.common import COLUMNS, frame, prose, shingles
+from tests.llm.common import COLUMNS, frame, prose, shingles, words
 
 
 def edited(text, n, seed):
@@ -100,3 +100,13 @@ def test_rounds_are_exact_for_any_bucket(spark):
     for i in sets:
         expected.setdefault(want[rows[i][0]][1], set()).add(rows[i][0])
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_stage_judges_rows_and_not_ids(spark):
+    one, two, three, four = (prose(60, 4100 + i) for i in range(4))
+    near = " ".join(["changed", *words(three)[1:]])
+    rows = [(1, one), (5, one), (5, two), (7, three), (7, near), (None, three), (None, four), (None, four), (None, prose(60, 4200))]
+    got = sorted((r.doc_id or 0, r.text) for r in near_dup.stage(spark, frame(spark, rows), "").collect())
+    stays = [x for x in got if x[0] == 7]
+    assert len(stays) == 1 and stays[0][1] in (three, near)
+    assert [x for x in got if x[0] != 7] == sorted([(0, four), (0, prose(60, 4200)), (1, one), (5, two)])
