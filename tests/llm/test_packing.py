@@ -72,3 +72,29 @@ def test_empty_null_and_repeated(spark):
     assert packing.pack_documents(spark, spark.createDataFrame([], COLUMNS)).count() == 0
     got = packing.pack_documents(spark, frame(spark, [(None, "a"), (1, "b"), (1, "b"), (2, None)])).collect()
     assert sorted((r.doc_id or -1, r.length) for r in got) == [(-1, 2), (1, 2), (1, 2), (2, 1)]
+
+
+def test_a_loss_limit_that_binds(spark):
+    """Conversations: loss = the words of the assistant's turns, with a limit below that of the tokens."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").selectExpr(
+        "conv_id", "size(split(trim(text), '\\\\s+')) AS n", "role = 'assistant' AS answer")
+    items = turns.groupBy("conv_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "tokens").join(
+        turns.filter("answer").groupBy("conv_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "loss"), "conv_id", "left")
+    items = items.fillna(0, ["loss"]).selectExpr("conv_id", "tokens", "1 AS segments", "loss").filter("tokens <= 1024 AND loss <= 400")
+    want = {r.conv_id: r for r in items.collect()}
+
+    def place(pdf, bins, base):
+        return pdf.assign(bin=[base + next(k for k, b in enumerate(bins) if i in b) for i in range(len(pdf))])[["conv_id", "bin"]]
+
+    def pack(loss):
+        out = {}
+        rows = packing.pack_vectors(items, "conv_id long, bin long", place, len(want), ["conv_id"], [1024, 16, loss], 64).collect()
+        assert sorted(r.conv_id for r in rows) == sorted(want)
+        for r in rows:
+            out.setdefault(r.bin, []).append(want[r.conv_id])
+        return out.values()
+
+    tight, idle = pack(400), pack(1024)
+    for b in tight:
+        assert sum(r.tokens for r in b) <= 1024 and len(b) <= 16 and sum(r.loss for r in b) <= 400
+    assert any(sum(r.loss for r in b) > 400 for b in idle)
