@@ -10,7 +10,8 @@ inclusion probability frac(r).  The cube method fixes who is included: the vecto
 probabilities moves at random through the null space of the balancing constraints (words and
 documents) until a component reaches 0 or 1, so the word and document totals stay what they
 were.  Two constraints leave at most two documents of a run undecided.  Runs hold
-``RUN`` documents of one source, dealt by a hash of the id; what they leave undecided is
+``RUN`` documents of one source, dealt by a hash of id and text (rows that repeat both: and of
+their number); what they leave undecided is
 balanced in runs of the next level, until one run per source is left: its two documents
 are the landing problem, solved by trying all choices.  A hot source is many runs; no task sees
 more than ``RUN`` rows of one group, and only ids and sizes are moved.
@@ -134,9 +135,14 @@ def mix(spark: SparkSession, docs: DataFrame, carry: bool = True) -> tuple[DataF
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source",
-                       n_words(F.col("text")).alias("size"), *[whole][:carry])
+                       n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("spot"), *[whole][:carry])
     rows = keep(spark, rows, "mix-rows")
-    slim = rows.select("row", "doc_id", "source", "size")
+    # rows that repeat id and text would be one run: their numbers deal them
+    again = keep(spark, rows.groupBy("spot").agg(F.count("*").alias("m")).filter("m > 1").select("spot", F.lit(True).alias("again")),
+                 "mix-again")
+    slim = rows.select("row", "source", "size", "spot").join(again, "spot", "left").withColumn(
+        "spot", F.when(F.col("again"), F.xxhash64("spot", "row")).otherwise(F.col("spot"))).drop("again")
+    rows = rows.drop("spot")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     src = (targets(slim.select("source", "size")).withColumn("base", F.floor(ratio + EDGE).cast("int"))
            .withColumn("p", F.greatest(ratio - F.col("base"), F.lit(0.0)))
@@ -144,8 +150,7 @@ def mix(spark: SparkSession, docs: DataFrame, carry: bool = True) -> tuple[DataF
            .withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))))
     src = keep(spark, src.withColumnRenamed("source", "key"), "mix-sources")
     placed = keep(spark, slim.join(src, F.col("source").eqNullSafe(F.col("key")))
-                  .select("row", "src", "size", F.xxhash64("doc_id").alias("spot"), "runs", "p", "base",
-                          "source_size", "target"), "mix-placed")
+                  .select("row", "src", "size", "spot", "runs", "p", "base", "source_size", "target"), "mix-placed")
     open_ = placed.select("row", "src", "size", "spot", "runs", "p").filter(F.col("p").between(EDGE, 1 - EDGE))
     taken, level = None, 0
     while anything(open_):

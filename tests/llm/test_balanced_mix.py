@@ -91,3 +91,22 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], COLUMNS)
     rows, times = balanced_mix.mix(spark, docs)
     assert rows.count() == 0 and times.count() == 0 and balanced_mix.stage(spark, docs, "").count() == 0
+
+
+def test_repeated_and_null_ids_are_dealt_to_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(balanced_mix, "RUN", 16)
+    seen, decide = spark.sparkContext.accumulator(0), balanced_mix._decide
+
+    def counted(level):
+        run = decide(level)
+
+        def limited(key, pdf):
+            assert level or len(pdf) <= 4 * 16, len(pdf)
+            seen.add(1)
+            return run(key, pdf)
+        return limited
+    monkeypatch.setattr(balanced_mix, "_decide", counted)
+    rows = make([("a", 500), ("b", 300)])
+    hot = [(None if i % 2 else 7, "the same words" if i % 3 else t, s) for i, (_, t, s) in enumerate(rows)]
+    mixed, times = balanced_mix.mix(spark, frame(spark, hot))
+    assert mixed.join(times, "row").count() == len(rows) and seen.value > 20
