@@ -94,6 +94,14 @@ def overdue_band(days) -> Column:
     return F.when(d >= 10, "critical").when(d >= 5, "warning").otherwise("info")
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A fixed text with each {name} replaced by its value."""
+    text = F.lit(template)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+    return text
+
+
 def truncate_label(text, n: int) -> Column:
     """Cut to ``n`` characters plus an ellipsis when longer."""
     t = _c(text)
@@ -111,7 +119,7 @@ def lookup(col, mapping: dict, default: str) -> Column:
     return F.coalesce(m[_c(col)], F.lit(default))
 
 
-# Fixed value → class maps of the two user interfaces.
+# Fixed value → class maps of the two user interfaces; the company page has a status map of its own.
 LEGACY_STATUS_CLASS = {
     "In Stock": "safe", "Active": "safe", "Delivered": "safe", "Resolved": "safe", "Fulfilled": "safe",
     "Low Stock": "warning", "Pending": "warning", "Investigating": "warning",
@@ -129,4 +137,9 @@ STATUS_BADGE = {
     "Low Stock": "warning", "Out of Stock": "danger", "In Stock": "safe",
     "Open": "danger", "Investigating": "warning", "Resolved": "safe", "Dismissed": "info",
 }
+DETAIL_BADGE = {
+    "Delivered": "safe", "Shipped": "safe", "In Transit": "info",
+    "Pending": "warning", "Delayed": "danger", "Cancelled": "danger",
+    "Open": "danger", "Investigating": "warning", "Resolved": "safe", "Dismissed": "info",
+}
 SEVERITY_BADGE = {"Critical": "danger", "High": "warning", "Medium": "info", "Low": "safe"}

@@ -18,22 +18,32 @@ Stock only falls, so a request for more than its product's fullest row held at t
 rejected whatever came before it; so is one without stock rows, without a product or with a
 quantity that no order may have.  These are answered in the JVM, and the fold sees only
 requests that could still be accepted.
+
+A hot product (more than ``BLOCK`` such requests) is worked off in rounds: its requests lie in
+ordered slices and blocks, a round folds the next ``BLOCK`` at most, and the fullest row that is left
+bounds all that follows, so the JVM rejects what exceeds it before the next round.  No task folds
+more than ``BLOCK`` requests of a product, and requests that come after the stock is gone are never folded.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.predicates import as_of_lit
 from chainlens.functions.scalars import stock_status
+from chainlens.operators.slices import PLACE, SLICE, in_slices
 from chainlens.schema import DEFAULT_PRIORITY, ORDER_FULFIL_DAYS, PRIORITIES
 from chainlens.session import written as table_written
 
+#: Requests of one product that a task folds at most.
+BLOCK = 200_000
+
 _OUT_SCHEMA = ("record string, seq long, product_id long, inventory_id long, status string, reason string, "
                "stock_before int, stock_after int, minimum_threshold int, company_id long, quantity int, "
                "priority string")
@@ -109,7 +119,8 @@ def _fold(batches):
             out["company_id"].append(None if np.isnan(company[j]) else int(company[j]))
             out["quantity"].append(want)
             out["priority"].append(priority[j])
-        yield pd.DataFrame(out, columns=cols).astype(_INTS)
+        if out["record"]:                          # a frame without rows has no kinds of columns
+            yield pd.DataFrame(out, columns=cols).astype(_INTS)
     fl = flush(cur)
     if fl:
         yield pd.DataFrame(fl, columns=cols).astype(_INTS)
@@ -137,7 +148,65 @@ def best_stock_row(inventory: DataFrame, products: DataFrame) -> DataFrame:
         "product_id", (-F.col("b.nid")).alias("inventory_id"), F.col("b.q").alias("quantity_available"))
 
 
-def run_allocation(requests: DataFrame, inventory: DataFrame, companies: DataFrame, products: DataFrame) -> DataFrame:
+def _rejected(requests: DataFrame, reason) -> DataFrame:
+    """Records of requests that no fold has to see."""
+    none = F.lit(None)
+    return requests.select(
+        F.lit("request").alias("record"), "seq", "product_id", none.cast("bigint").alias("inventory_id"),
+        F.lit("rejected").alias("status"), reason.alias("reason"), none.cast("int").alias("stock_before"),
+        none.cast("int").alias("stock_after"), none.cast("int").alias("minimum_threshold"), "company_id", "quantity",
+        "priority")
+
+
+def _folded(requests: DataFrame, stock: DataFrame) -> DataFrame:
+    """The fold of ``requests`` over ``stock`` (product_id, inventory_id, quantity, threshold)."""
+    none = F.lit(None)
+    rows = stock.select("product_id", F.lit(0).alias("kind"), F.col("inventory_id").alias("seq"), F.col("quantity_available").alias("qty"),
+                        F.col("minimum_threshold").alias("thr"), F.lit(True).alias("valid"), none.cast("bigint").alias("company_id"),
+                        none.cast("string").alias("priority"))
+    asks = requests.select("product_id", F.lit(1).alias("kind"), "seq", F.col("quantity").alias("qty"),
+                           none.cast("int").alias("thr"), "valid", "company_id", "priority")
+    ordered = rows.unionByName(asks).repartition("product_id").sortWithinPartitions("product_id", "kind", "seq")
+    return ordered.mapInPandas(_fold, _OUT_SCHEMA)
+
+
+def next_blocks(pending: DataFrame, block: int) -> DataFrame:
+    """(product_id, block) of the blocks a round folds: a product's first ones with ``block`` requests at most in all."""
+    counts = pending.groupBy("product_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("product_id").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumn("n", F.sum("n").over(upto)).filter(F.col("n") <= block).select("product_id", "block")
+
+
+def _fold_in_rounds(requests: DataFrame, stock: DataFrame, block: int) -> DataFrame:
+    """:func:`_folded` for products with any number of requests."""
+    spark = requests.sparkSession
+    own = in_slices(requests, "product_id", "seq", name="hot-requests")
+    pending = own.withColumn("block", F.col(SLICE).cast("bigint") * F.lit(1 << 32) + F.floor(F.col(PLACE) / block).cast("bigint"))
+    done = []
+    while not pending.isEmpty():
+        best = stock.groupBy("product_id").agg(F.max("quantity_available").alias("_best"))
+        known = pending.drop("_best").join(best, "product_id")
+        done.append(_rejected(known.filter(F.col("quantity") > F.col("_best")), F.lit("insufficient stock")))
+        able = table_written(spark, known.filter(F.col("quantity") <= F.col("_best")), "hot-able")
+        now = table_written(spark, next_blocks(able, block), "hot-blocks")
+        result = table_written(spark, _folded(able.join(now, ["product_id", "block"], "left_semi"), stock), "hot-folded")
+        done.append(result.filter("record = 'request'"))
+        final = result.filter("record = 'stock'").select("inventory_id", F.col("stock_after").alias("_left"))
+        stock = table_written(spark, stock.join(final, "inventory_id", "left").select(
+            "product_id", "inventory_id", F.coalesce("_left", "quantity_available").alias("quantity_available"), "minimum_threshold",
+            (F.col("_left").isNotNull() | F.col("touched")).alias("touched")), "hot-stock")
+        pending = able.join(now, ["product_id", "block"], "left_anti")
+    none = F.lit(None)
+    done.append(stock.filter("touched").select(
+        F.lit("stock").alias("record"), none.cast("bigint").alias("seq"), "product_id", "inventory_id", none.cast("string").alias("status"),
+        none.cast("string").alias("reason"), none.cast("int").alias("stock_before"), F.col("quantity_available").alias("stock_after"),
+        "minimum_threshold", none.cast("bigint").alias("company_id"), none.cast("int").alias("quantity"),
+        none.cast("string").alias("priority")))
+    return reduce(lambda a, b: a.unionByName(b), done)
+
+
+def run_allocation(requests: DataFrame, inventory: DataFrame, companies: DataFrame, products: DataFrame,
+                   block: int = BLOCK) -> DataFrame:
     """One 'request' record per request and one 'stock' record per stock row whose quantity
     changed (its final quantity)."""
     best = best_stock_row(inventory, products).select("product_id", F.col("quantity_available").alias("_best"))
@@ -146,30 +215,28 @@ def run_allocation(requests: DataFrame, inventory: DataFrame, companies: DataFra
     reason = (F.when(F.col("_best").isNull(), "no inventory").when(wants > F.col("_best"), "insufficient stock")
               .when(F.coalesce(wants, F.lit(0)) <= 0, "invalid request"))
     req = req.withColumn("_reason", reason)
-    none = F.lit(None)
-    early = req.filter("_reason IS NOT NULL").select(
-        F.lit("request").alias("record"), "seq", "product_id", none.cast("bigint").alias("inventory_id"),
-        F.lit("rejected").alias("status"), F.col("_reason").alias("reason"), none.cast("int").alias("stock_before"),
-        none.cast("int").alias("stock_after"), none.cast("int").alias("minimum_threshold"), "company_id", "quantity",
-        "priority")
+    early = _rejected(req.filter("_reason IS NOT NULL"), F.col("_reason"))
     open_ = req.filter("_reason IS NULL")
-    asked = open_.select("product_id").distinct()
-    stock = inventory.join(asked, "product_id", "left_semi").select(
-        "product_id", F.lit(0).alias("kind"), F.col("inventory_id").alias("seq"),
-        F.col("quantity_available").alias("qty"), F.col("minimum_threshold").alias("thr"),
-        F.lit(True).alias("valid"), none.cast("bigint").alias("company_id"), none.cast("string").alias("priority"))
-    reqs = open_.select("product_id", F.lit(1).alias("kind"), "seq", F.col("quantity").alias("qty"),
-                        none.cast("int").alias("thr"), "valid", "company_id", "priority")
-    ordered = stock.unionByName(reqs).repartition("product_id").sortWithinPartitions("product_id", "kind", "seq")
-    return early.unionByName(ordered.mapInPandas(_fold, _OUT_SCHEMA))
-
-
-def allocate_orders(t, requests: DataFrame | None = None, as_of=None, written: bool = False):
+    stock = inventory.select("product_id", "inventory_id", "quantity_available", "minimum_threshold")
+    hot = open_.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("product_id")
+    hot = table_written(requests.sparkSession, hot, "hot-products")
+    if hot.isEmpty():
+        asked = open_.select("product_id").distinct()
+        return early.unionByName(_folded(open_, stock.join(asked, "product_id", "left_semi")))
+    cold = open_.join(hot, "product_id", "left_anti")
+    asked = cold.select("product_id").distinct()
+    rounds = _fold_in_rounds(open_.join(hot, "product_id", "left_semi").select(
+        "seq", "company_id", "product_id", "quantity", "priority", "valid"),
+        stock.join(hot, "product_id", "left_semi").withColumn("touched", F.lit(False)), block)
+    return early.unionByName(_folded(cold, stock.join(asked, "product_id", "left_semi"))).unionByName(rounds)
+
+
+def allocate_orders(t, requests: DataFrame | None = None, as_of=None, written: bool = False, block: int = BLOCK):
     """Returns (decisions, new orders, new inventory, stock changes); ``written`` runs the fold
     once for all of them."""
     as_of = as_of if as_of is not None else t.as_of
     requests = requests if requests is not None else t.order_request
-    folded = run_allocation(requests, t.inventory, t.company, t.product)
+    folded = run_allocation(requests, t.inventory, t.company, t.product, block)
     if written:
         folded = table_written(t.spark, folded, "allocation")
     decisions = folded.filter(F.col("record") == "request").select(

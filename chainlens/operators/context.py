@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from chainlens.functions.predicates import is_delayed_status, is_low_stock, is_open
 from chainlens.operators.risks import risks_by_company
+from chainlens.operators.slices import PLACE, SLICE, in_slices, sum_before
 from chainlens.session import written
 
 # Fixed section titles, in document order.
@@ -225,6 +226,27 @@ def assemble_documents(lines: DataFrame) -> DataFrame:
                                  lambda x: x["line"]), "\n").alias("document"))
 
 
+CHUNK = 4000      # characters of a document's chunk
+
+
+def document_chunks(lines: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The text of each tenant's document as chunks (company_id, chunk_no, text, n_lines).
+
+    A line belongs to the chunk in which its first character lies, so a chunk has at most ``size``
+    characters and the rest of one line, and the chunks in order, joined by newlines, are the document.  A number is left out
+    only where a line is longer than a chunk.  Where a line starts is a two-level sum of lengths
+    (``slices``): a tenant with a third of all lines is spread over slices, and no task gathers more
+    than a chunk.
+    """
+    x = in_slices(lines.select("company_id", "section_order", "line_key", "line"), "company_id", "section_order", "line_key", "line",
+                  name="document-lines")
+    x = sum_before(x, "company_id", F.char_length("line") + 1, "start")
+    own = F.collect_list(F.struct(SLICE, PLACE, "line"))        # of one chunk
+    return (x.groupBy("company_id", F.floor(F.col("start") / size).cast("bigint").alias("chunk_no"))
+            .agg(F.sort_array(own).alias("own"), F.count(F.lit(1)).alias("n_lines"))
+            .select("company_id", "chunk_no", F.array_join(F.transform("own", lambda r: r["line"]), "\n").alias("text"), "n_lines"))
+
+
 # ---------------------------------------------------------------------------------
 # C3 / C4 — conversation history
 # ---------------------------------------------------------------------------------
@@ -284,3 +306,20 @@ def prompt_turns(conv: DataFrame, context_text: Column | None = None) -> DataFra
     allt = allt.filter(F.coalesce(F.col("text"), F.lit("")) != "")
     w = Window.partitionBy("conv_id").orderBy("k")
     return allt.select("conv_id", F.row_number().over(w).cast("int").alias("position"), "role", "text")
+
+
+def prompt_contents(t, owners: DataFrame, size: int = CHUNK) -> DataFrame:
+    """C4 with its context: (conv_id, position, part, role, text), all that the model gets for each conversation.
+
+    The first turn of a conversation is the preamble of the company in ``owners`` (conv_id, company_id), in chunks:
+    its parts joined by newlines are the turn.  A conversation without a company of the tables has
+    the heading alone.  All other turns are of one part.
+    """
+    parts = document_chunks(prompt_preamble(t), size).select(
+        "company_id", F.col("chunk_no").alias("_part"), F.col("text").alias("_text"))
+    turns = prompt_turns(t.conversations)
+    first = turns.filter("position = 1").join(owners.select("conv_id", "company_id"), "conv_id", "left")
+    first = first.join(parts, "company_id", "left").select(
+        "conv_id", "position", F.coalesce("_part", F.lit(0)).alias("part"), "role", F.coalesce("_text", "text").alias("text"))
+    rest = turns.filter("position > 1").select("conv_id", "position", F.lit(0).cast("bigint").alias("part"), "role", "text")
+    return first.unionByName(rest)

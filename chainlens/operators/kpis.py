@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainlens.functions import scalars as X
 from chainlens.functions.predicates import (ALL, is_delayed_status, is_low_stock, is_open, is_overdue,
                                             scope, search, value_in)
 from chainlens.operators.risks import risks_by_company
@@ -307,6 +308,45 @@ def _trend(col: str) -> F.Column:
     return F.when(v > 3, "up").when(v == 0, "neutral").otherwise("down")
 
 
+# Fixed texts of the trend marks and of the pipeline's stages.
+TREND_TEXT = {"up": "↑ {n} active", "neutral": "— clear", "down": "↓ {n} only"}
+STAGE_TEXT = {"companies": "{suppliers} suppliers linked", "suppliers": "{products} products supplied",
+              "products": "⚠️ {low} low stock", "warehouses": "{products} products stored", "shipments": "🔴 {late} delayed"}
+STAGE_CLEAR = {"products": "✅ All stocked", "shipments": "✅ All on time"}
+
+
+def trend_texts(t, as_of=None) -> DataFrame:
+    """The text beside each trend mark, per company."""
+    def told(col: str) -> F.Column:
+        n = F.col(col)
+        return (F.when(_trend(col) == "up", X.filled(TREND_TEXT["up"], n=n)).when(_trend(col) == "neutral", TREND_TEXT["neutral"])
+                .otherwise(X.filled(TREND_TEXT["down"], n=n)))
+
+    return kpi_by_company(t, as_of).select("company_id", told("low_inventory_alerts").alias("low_text"),
+                                           told("delayed_shipment_alerts").alias("delayed_text"), told("open_risks").alias("risks_text"))
+
+
+def stage_texts(t, cid=ALL, as_of=None, status=None, q=None) -> DataFrame:
+    """The line under each pipeline stage, from the counts of :func:`pipeline_stages`."""
+    stages = pipeline_stages(t, cid, as_of, status, q)
+
+    def of(stage: str, col: str) -> F.Column:
+        return F.max(F.when(F.col("stage") == stage, F.col(col)))
+
+    # five rows: their counts on one
+    one = stages.agg(of("suppliers", "item_count").alias("suppliers"), of("products", "item_count").alias("products"),
+                     of("products", "warning").alias("low"), of("shipments", "critical").alias("late"))
+    values = {c: F.col(c) for c in ("suppliers", "products", "low", "late")}
+    texts = []
+    for i, (stage, template) in enumerate(STAGE_TEXT.items(), 1):
+        text = X.filled(template, **values)
+        count = {"products": "low", "shipments": "late"}.get(stage)
+        if count:
+            text = F.when(F.col(count) > 0, text).otherwise(STAGE_CLEAR[stage])
+        texts.append(F.struct(F.lit(i).alias("stage_order"), F.lit(stage).alias("stage"), text.alias("stat_text")))
+    return one.select(F.explode(F.array(*texts)).alias("x")).select("x.*")
+
+
 def insight_by_company(t, as_of=None) -> DataFrame:
     """Banner level/text (legacy ladder and React banner) and trend flags per company."""
     k = kpi_by_company(t, as_of)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainlens.operators.cascade import cascade
 from chainlens.schema import (COMPANY_STATUSES, DEFAULTS, ENTITY_TYPES, FOREIGN_KEYS, INVENTORY_STATUSES,
                               ORDER_STATUSES, PRIMARY_KEYS, PRIORITIES, RESOLUTION_STATUSES, SEVERITIES,
                               SHIPMENT_STATUSES, TRANSPORT_MODES)
@@ -72,29 +73,24 @@ def constraint_rules() -> dict[str, list[tuple[str, str]]]:
     def nn(*cols):
         return [(f"{x} not null", f"{x} IS NOT NULL") for x in cols]
 
-    def ln(x, n):
-        return (f"{x} length <= {n}", f"length({x}) <= {n}")
-
-    rules = _check_rules(nn, ln)
+    rules = _check_rules(nn)
     for table, lengths in TEXT_LENGTHS.items():
-        named = {name for name, _ in rules[table]}
-        rules[table] += [ln(c, n) for c, n in lengths.items() if f"{c} length <= {n}" not in named]
+        rules[table] += [(f"{c} length <= {n}", f"length({c}) <= {n}") for c, n in lengths.items()]
     return rules
 
 
-def _check_rules(nn, ln) -> dict[str, list[tuple[str, str]]]:
+def _check_rules(nn) -> dict[str, list[tuple[str, str]]]:
     return {
         "company": nn("company_id", "company_name") + [
-            ln("company_name", 150), ln("industry", 100), ln("country", 100),
             ("status in enum", _enum("status", COMPANY_STATUSES))],
         "supplier": nn("supplier_id", "supplier_name", "company_id") + [
-            ln("supplier_name", 150), ("lead_time_days >= 0", "lead_time_days >= 0"),
+            ("lead_time_days >= 0", "lead_time_days >= 0"),
             ("reliability_score between 0 and 1", "reliability_score BETWEEN 0 AND 1")],
         "product": nn("product_id", "product_name", "supplier_id") + [
-            ln("product_name", 200), ("unit_price >= 0", "unit_price >= 0"),
+            ("unit_price >= 0", "unit_price >= 0"),
             ("reorder_level >= 0", "reorder_level >= 0")],
         "warehouse": nn("warehouse_id", "warehouse_name") + [
-            ln("warehouse_name", 150), ("capacity_units > 0", "capacity_units > 0")],
+            ("capacity_units > 0", "capacity_units > 0")],
         "inventory": nn("inventory_id", "product_id", "warehouse_id") + [
             ("quantity_available >= 0", "quantity_available >= 0"),
             ("reserved_quantity >= 0", "reserved_quantity >= 0"),
@@ -111,8 +107,7 @@ def _check_rules(nn, ln) -> dict[str, list[tuple[str, str]]]:
         "risk_event": nn("risk_id", "entity_type", "entity_id", "risk_type") + [
             ("entity_type in enum", _enum("entity_type", ENTITY_TYPES)),
             ("risk_severity in enum", _enum("risk_severity", SEVERITIES)),
-            ("resolution_status in enum", _enum("resolution_status", RESOLUTION_STATUSES)),
-            ln("risk_type", 50)],
+            ("resolution_status in enum", _enum("resolution_status", RESOLUTION_STATUSES))],
     }
 
 
@@ -217,29 +212,17 @@ def risk_dangling_refs(t) -> DataFrame:
 # ---------------------------------------------------------------------------------
 
 
+# The tables that a purge of companies can reach.
+PURGED = ["company", "supplier", "product", "inventory", "shipment", "orders", "app_user"]
+
+
 def purge_companies(t, ids: DataFrame):
     """Delete companies ``ids(company_id)`` and cascade down the foreign-key tree;
     users of a deleted company keep their row with company_id NULL; risks are left
     dangling.  A row goes only with a parent that is deleted, so orphans and rows with a
     NULL key stay.  Returns the new table bundle."""
-    ids = ids.select("company_id").distinct()
-    gone_company = t.company.join(ids, "company_id", "left_semi").select("company_id")
-    gone_supplier = t.supplier.join(gone_company, "company_id", "left_semi").select("supplier_id")
-    gone_product = t.product.join(gone_supplier, "supplier_id", "left_semi").select("product_id")
-    company = t.company.join(gone_company, "company_id", "left_anti")
-    supplier = t.supplier.join(gone_company, "company_id", "left_anti")
-    product = t.product.join(gone_supplier, "supplier_id", "left_anti")
-    inventory = t.inventory.join(gone_product, "product_id", "left_anti")
-    shipment = (t.shipment.join(gone_product, "product_id", "left_anti")
-                .join(gone_supplier, "supplier_id", "left_anti"))
-    orders = (t.orders.join(gone_company, "company_id", "left_anti")
-              .join(gone_product, "product_id", "left_anti"))
-    gone = gone_company.withColumn("_gone", F.lit(True))
-    users = t.app_user.join(gone, "company_id", "left").select(
-        *[F.when(F.col("_gone"), F.lit(None).cast("bigint")).otherwise(F.col(c)).alias(c) if c == "company_id"
-          else F.col(c) for c in t.app_user.columns])
-    return t.replace(company=company, supplier=supplier, product=product, inventory=inventory,
-                     shipment=shipment, orders=orders, app_user=users)
+    after, _ = cascade({n: t[n] for n in PURGED}, FOREIGN_KEYS, {n: PRIMARY_KEYS[n][0] for n in PURGED}, {"company": ids})
+    return t.replace(**after)
 
 
 def table_counts(t, names) -> DataFrame:
@@ -261,9 +244,9 @@ def append_if_absent(target: DataFrame, rows: DataFrame, key) -> DataFrame:
 
 
 def to_json_rows(df: DataFrame, key: str) -> DataFrame:
-    """One JSON object per row (decimal → number, date → ISO string)."""
-    return df.select(key, F.to_json(F.struct(*df.columns)).alias("json"))
+    """One JSON object per row (decimal → number, date → ISO string, NULL → null; no key is left out)."""
+    return df.select(key, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path, ignoreNullFields=False)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from chainlens.functions import scalars as X
 from chainlens.functions.predicates import ALL, as_of_lit, is_low_stock, is_open, is_overdue, scope
-from chainlens.schema import OPEN_STATUSES, RISK_DELAYED, RISK_LOW_STOCK
+from chainlens.operators.slices import numbered
+from chainlens.schema import OPEN_STATUSES, RISK_DELAYED, RISK_LOW_STOCK, SCAN_LOW_STOCK, SCAN_OVERDUE
 
 RISK_COLS = ["risk_id", "entity_type", "entity_id", "risk_type", "risk_severity", "detected_date",
              "description", "resolution_status"]
@@ -64,8 +65,7 @@ def detect_risks(t, as_of=None, with_id: bool = False) -> DataFrame:
     shipments without an open 'Delayed Delivery' risk; both NOT EXISTS become left-anti
     joins against the (small, deduplicated) open-risk keys.  Severity by R3 / R4.
     The natural key (entity_type, entity_id, risk_type, detected_date) identifies a row
-    (M6); ``with_id`` adds a stable 64-bit hash of it instead of a serial number, which
-    would need a single-partition global count.
+    (M6): ``with_id`` adds a stable 64-bit hash of it, :func:`number_risks` a serial number.
     """
     as_of = as_of if as_of is not None else t.as_of
     day = as_of_lit(as_of)
@@ -78,8 +78,7 @@ def detect_risks(t, as_of=None, with_id: bool = False) -> DataFrame:
         F.lit("Inventory").alias("entity_type"), F.col("inventory_id").alias("entity_id"),
         F.lit(RISK_LOW_STOCK).alias("risk_type"), X.stock_severity(q, th).alias("risk_severity"),
         day.alias("detected_date"),
-        F.concat(F.lit("Scan-detected: Stock at "), q.cast("string"), F.lit("/"), th.cast("string"),
-                 F.lit(" units")).alias("description"),
+        X.filled(SCAN_LOW_STOCK, quantity=q, threshold=th).alias("description"),
         F.lit("Open").alias("resolution_status"))
     sh = (t.shipment.filter(is_overdue(as_of))
           .join(_open_keys(risks, "Shipment", RISK_DELAYED),
@@ -89,8 +88,7 @@ def detect_risks(t, as_of=None, with_id: bool = False) -> DataFrame:
         F.lit("Shipment").alias("entity_type"), F.col("shipment_id").alias("entity_id"),
         F.lit(RISK_DELAYED).alias("risk_type"), X.overdue_severity(F.col("_days")).alias("risk_severity"),
         day.alias("detected_date"),
-        F.concat(F.lit("Scan-detected: Shipment #"), F.col("shipment_id").cast("string"), F.lit(" is "),
-                 F.col("_days").cast("string"), F.lit(" days overdue")).alias("description"),
+        X.filled(SCAN_OVERDUE, shipment=F.col("shipment_id"), days=F.col("_days")).alias("description"),
         F.lit("Open").alias("resolution_status"))
     out = low.unionByName(late)
     if with_id:
@@ -98,6 +96,13 @@ def detect_risks(t, as_of=None, with_id: bool = False) -> DataFrame:
     return out
 
 
+def number_risks(risks: DataFrame, new: DataFrame) -> DataFrame:
+    """M6: ``new`` risks with serial ids that continue from the largest of ``risks``, without gaps, in the
+    order of their natural key; a rerun over the same tables gives the same ids."""
+    last = F.coalesce(risks.agg(F.max("risk_id")).scalar(), F.lit(0))
+    return numbered(new, ["entity_type", "entity_id", "risk_type", "detected_date"], "risk_id", last)
+
+
 def detect_risks_count(t, as_of=None) -> DataFrame:
     """M2 return value: number of new risks, split by kind and severity."""
     return (detect_risks(t, as_of).groupBy("risk_type", "risk_severity")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.functions.predicates import as_of_lit
+from chainlens.operators.slices import in_slices, previous
 from chainlens.schema import SHIPMENT_STATUSES
 
 
@@ -13,11 +14,12 @@ def status_changes(shipments: DataFrame, updates: DataFrame) -> DataFrame:
     """The changes (seq, shipment_id, old_status, new_status) that M5 makes for ``updates``: the old
     status of a shipment's update is what its previous valid update left, first the table's.
 
-    They feed the delay trigger (E2)."""
+    They feed the delay trigger (E2).  A shipment may hold a third of the updates: they are worked off in
+    ordered slices, each of which takes the last status of the slice before."""
     valid = updates.filter(F.col("new_status").isin(*SHIPMENT_STATUSES)).select("seq", "shipment_id", "new_status")
-    w = Window.partitionBy("shipment_id").orderBy("seq")
     x = valid.join(shipments.select("shipment_id", "shipment_status"), "shipment_id")
-    old = F.when(F.row_number().over(w) == 1, F.col("shipment_status")).otherwise(F.lag("new_status").over(w))
+    x = previous(in_slices(x, "shipment_id", "seq", name="status-changes"), "shipment_id", "new_status", "_before")
+    old = F.coalesce("_before", "shipment_status")       # a valid status is never NULL
     return x.select("seq", "shipment_id", old.alias("old_status"), "new_status")
 
 

@@ -112,8 +112,10 @@ def activate_free_plan(t, requests: DataFrame, now) -> DataFrame:
     unknown plans and priced plans change nothing.  New rows have no ``subscription_id`` yet
     (the sink numbers rows).  Returns the full new subscription table.
     """
-    free = t.subscription_plan.filter(F.col("price_monthly") == 0).select("plan_id")
-    ask = (requests.join(free, "plan_id").join(t.app_user.select("user_id"), "user_id", "left_semi")
+    # the plans of the catalogue as a scalar: requests that all name one plan would make a join
+    # on ``plan_id`` a join without a key
+    free = t.subscription_plan.filter(F.col("price_monthly") == 0).agg(F.collect_set("plan_id")).scalar()
+    ask = (requests.filter(F.array_contains(free, F.col("plan_id"))).join(t.app_user.select("user_id"), "user_id", "left_semi")
            .groupBy("user_id").agg(F.min("plan_id").alias("plan_id")))
     subs, at = t.user_subscription, F.lit(now).cast("timestamp_ntz")
     old = subs.join(ask.select("user_id", F.lit(True).alias("_asked")), "user_id", "left").select(

@@ -2,4 +2,4 @@
 
 from chainlens.plans import catalog  # noqa: F401
 from chainlens.plans import catalog2  # noqa: F401
-from chainlens.plans import catalog3  # noqa: F401
+from chainlens.plans import catalog3, catalog4  # noqa: F401

@@ -21,6 +21,9 @@ USER_ROLES = ("admin", "company")
 SUBSCRIPTION_STATUSES = ("active", "expired", "cancelled", "pending")
 RISK_LOW_STOCK = "Low Stock"
 RISK_DELAYED = "Delayed Delivery"
+# Messages of the risks that a scan creates.
+SCAN_LOW_STOCK = "Scan-detected: Stock at {quantity}/{threshold} units"
+SCAN_OVERDUE = "Scan-detected: Shipment #{shipment} is {days} days overdue"
 DEFAULT_PRIORITY = "Medium"
 ORDER_FULFIL_DAYS = 7
 SUBSCRIPTION_DAYS = 30

@@ -14,7 +14,11 @@ source system keeps open risks forever).
 Each micro-batch is a plan of built-in functions: the batch's events per key are folded
 over the key's count by ``aggregate``, and counts and created risks are written under
 the batch's number (``foreachBatch``; a replayed batch writes the same folders again, so
-every risk is emitted once).  A key's events of one batch are a bounded list, because
+every risk is emitted once).
+
+Counts lie in hash buckets of about ``KEYS_PER_BUCKET`` keys, and a bucket has a version per batch that
+touched it (:class:`OpenCounts`).  A batch reads and writes the buckets of its own events only, so
+what it writes follows its events and not the state.  A key's events of one batch are a bounded list, because
 between two closes only the first crossing can create a risk and the others are dropped
 before the list is built.
 
@@ -40,6 +44,7 @@ COUNT_SCHEMA = "entity_type string, entity_id long, risk_type string, open_risks
 OUT_SCHEMA = "seq long, entity_type string, entity_id long, risk_type string, risk_severity string, description string"
 SLICES = 3                 # micro-batches at least, so that state is always carried
 ROWS_PER_FILE = 2_000_000
+KEYS_PER_BUCKET = 10_000
 
 
 def is_tracked() -> F.Column:
@@ -122,22 +127,65 @@ def write_log(events: DataFrame, path: str, slices: int = SLICES, rows_per_file:
     return files
 
 
+class OpenCounts:
+    """The open counts under ``root``: hash buckets, each in the folder of the batch that wrote it last.
+
+    ``versions/v=n`` names, for the state before batch n, the batch of every bucket; it is written
+    after the buckets, so a batch that is replayed starts from what it started from before.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int):
+        self.spark, self.root, self.buckets = spark, root, buckets
+
+    def bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _folder(self, bucket: int, version: int) -> str:
+        return f"{self.root}/buckets/v={version}/bucket={bucket}"
+
+    def versions(self, number: int) -> dict[int, int]:
+        """The batch that wrote each bucket last, before batch ``number``; one entry per bucket."""
+        rows = self.spark.read.schema("bucket int, version int").parquet(f"{self.root}/versions/v={number}").collect()
+        return {r.bucket: r.version for r in rows}
+
+    def touched(self, df: DataFrame) -> list[int]:
+        return [r.bucket for r in df.select(self.bucket()).distinct().collect()]
+
+    def read(self, number: int, buckets) -> DataFrame:
+        """The counts of ``buckets`` before batch ``number``."""
+        known = self.versions(number)
+        paths = [self._folder(b, known[b]) for b in sorted(buckets) if b in known]
+        return self.spark.read.schema(COUNT_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], COUNT_SCHEMA)
+
+    def write(self, counts: DataFrame, number: int, known: dict[int, int]) -> None:
+        """``counts`` of whole buckets as the state before batch ``number``; the others stay as in ``known``."""
+        rows = counts.select(*KEY, "open_risks", self.bucket())
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/buckets/v={number}")
+        new = known | {b: number for b in self.touched(counts)}
+        (self.spark.createDataFrame(sorted(new.items()), "bucket int, version int").coalesce(1)
+         .write.mode("overwrite").parquet(f"{self.root}/versions/v={number}"))
+
+
 def run_risk_state_stream(spark: SparkSession, events: DataFrame, initial: DataFrame, as_of,
-                          slices: int = SLICES, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+                          slices: int = SLICES, rows_per_file: int = ROWS_PER_FILE,
+                          keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
     """Run the stream over the change log to completion (``availableNow``) and return the
     created risks as a batch frame."""
     root = scratch_path(spark, "risk-state")
-    src, out, counts, ckpt = (f"{root}/{d}" for d in ("source", "output", "counts", "checkpoint"))
+    src, out, ckpt = (f"{root}/{d}" for d in ("source", "output", "checkpoint"))
     files = write_log(events, src, slices, rows_per_file)
-    initial.select(*KEY, F.col("open_risks").cast("bigint")).write.parquet(f"{counts}/v=0")
+    log = spark.read.schema(EVENT_SCHEMA).parquet(src).select(*KEY)
+    keys = log.unionByName(initial.select(*KEY)).select(F.approx_count_distinct(F.xxhash64(*KEY))).first()[0]
+    state = OpenCounts(spark, f"{root}/counts", max(1, -(-keys // keys_per_bucket)))
+    state.write(initial.select(*KEY, F.col("open_risks").cast("bigint")), 0, {})
 
     def batch(df: DataFrame, number: int) -> None:
         session = df.sparkSession
-        before = session.read.schema(COUNT_SCHEMA).parquet(f"{counts}/v={number}")
+        own = OpenCounts(session, state.root, state.buckets)
         step = f"{root}/steps/v={number}"
-        _advance(df, before).write.mode("overwrite").parquet(step)
+        _advance(df, own.read(number, own.touched(df))).write.mode("overwrite").parquet(step)
         done = session.read.parquet(step)
-        done.select(*KEY, "open_risks").write.mode("overwrite").parquet(f"{counts}/v={number + 1}")
+        own.write(done.select(*KEY, "open_risks"), number + 1, own.versions(number))
         done.select(*KEY, F.explode("fired").alias("e")).select(
             F.col("e.seq").alias("seq"), *KEY, F.col("e.risk_severity").alias("risk_severity"),
             F.col("e.description").alias("description")).write.mode("overwrite").parquet(f"{out}/batch={number}")
