@@ -62,3 +62,37 @@ def test_empty_table_and_no_sample(spark):
     assert secrets.scan(spark.createDataFrame([], COLUMNS)).count() == 0
     rows = secrets.scan(frame(spark, [(1, prose(50, 1)), (1, prose(50, 1)), (None, None)])).collect()
     assert len(rows) == 3 and all(r.spans == [] for r in rows)
+
+
+def test_many_hits_in_one_text(spark):
+    """100,000 hits: work in proportion to them, and the same spans as by a loop."""
+    r = random.Random(11)
+    kinds = [lambda i: f"token={rand(10, i)}", lambda i: "AKIA" + rand(13, i, "ABCDEFGHIJ0123456789"), lambda i: rand(33, i),
+             lambda i: f"secret: {rand(9, i)}+{rand(20, i, 'xyzXYZ01289qQ')}/{rand(12, i)}", lambda i: rand(24, i, "abcxyzXYZ0189kKqQ")]
+    text = " ".join(kinds[r.randrange(5)](i) for i in range(100_000))
+    small = [(i, f"{prose(30, i)} token={rand(24, i)}") for i in range(20)]
+    rows = secrets.scan(frame(spark, [(1000, text), *small])).filter("doc.doc_id = 1000").select("base", "spans").collect()
+    assert [(x.s, x.k, x.e) for x in rows[0].base] == spans(text)
+    assert len(rows[0].base) > 70_000
+    assert [(x.s, x.k, x.e) for x in rows[0].spans if x.k < 3] == spans(text)
+    taken = sorted((x.s, x.e) for x in rows[0].spans if x.k == 3)
+    hard = sorted((s, e) for s, _, e in spans(text))
+    every = sorted([(*x, 1) for x in taken] + [(*x, 0) for x in hard])
+    assert all(a[1] <= b[0] for a, b in zip(every, every[1:]) if a[2] or b[2])
+
+
+def test_score_and_overlap_equal_brute_force(spark):
+    """Markov spans by a loop: trained counts, mean ratios, and no overlap with a base span."""
+    rows = [(i, f"{prose(20, i)} token={rand(24, i)} {rand(20, 70 + i, 'abcxyzXYZ0189')} {'internationalizations' * (i % 3)}") for i in range(60)]
+    rows += [(100, "password=" + rand(30, 1) + "/" + rand(30, 2) + " x" + rand(40, 3, "abcdef0189") + "zz" + rand(20, 4, "qwertyQ9"))]
+    docs = frame(spark, rows)
+    ratios = secrets.train(docs)
+    at = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    for r in secrets.scan(docs).select("doc.doc_id", "spans").collect():
+        text, want = dict(rows)[r.doc_id], []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            pairs = [ratios[at[a] * secrets.SIZE + at[b]] for a, b in zip(m[0], m[0][1:])]
+            score = sum(round(p, 6) for p in pairs) / len(pairs)
+            if score > secrets.THRESHOLD and not any(s < m.end() and m.start() < e for s, _, e in spans(text)):
+                want.append((m.start(), 3, m.end()))
+        assert [(x.s, x.k, x.e) for x in r.spans if x.k == 3] == want
