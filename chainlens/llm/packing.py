@@ -134,9 +134,12 @@ def dot_product(demand: np.ndarray, capacity: np.ndarray) -> list[list[int]]:
 
 
 def pack_vectors(items: DataFrame, schema: str, place, n_items: int, key: list[str], capacity: list[int],
-                 group: int = GROUP) -> DataFrame:
+                 group: int = GROUP, number: str | None = None) -> DataFrame:
     """Packs ``items`` (with columns tokens, segments, loss) in groups of about ``group``.
 
+    ``key`` orders the items and deals them to groups; ``number``, a column that tells all items of a
+    written table apart, deals those that share a key.
+
     ``place(pdf, bins, base)`` gives a group's rows with the columns of ``schema``; ``base`` is
     the number of the group's first sequence.
     """
@@ -150,6 +153,12 @@ def pack_vectors(items: DataFrame, schema: str, place, n_items: int, key: list[s
         return place(pdf, bins, number << 32)
 
     spot = F.xxhash64(*key)
+    if number:
+        # items that repeat a key would be one group: their numbers deal them
+        again = items.groupBy(spot.alias("twin")).agg(F.count("*").alias("m")).filter("m > 1").select("twin")
+        again = keep(items.sparkSession, again.withColumn("again", F.lit(True)), "pack-again")
+        items = items.withColumn("twin", spot).join(again, "twin", "left")
+        spot = F.when(F.col("again"), F.xxhash64("twin", number)).otherwise(F.col("twin"))
     return (items.withColumn("spot", spot).withColumn("group", F.pmod(F.col("spot"), F.lit(groups)))
             .groupBy("group").applyInPandas(pack, schema))
 
@@ -194,10 +203,10 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str | N
         F.lit(0).cast("long").alias("offset"))
     rest = cut.filter("ids IS NOT NULL")
     ended = F.col("start") + F.col("length") == F.col("doc_tokens")
-    items = rest.select("doc_id", "start", "ids", "doc_tokens", "ids_crc32", F.col("length").alias("tokens"),
+    items = rest.select("doc_id", "start", "ids", "doc_tokens", "ids_crc32", "piece", F.col("length").alias("tokens"),
                         F.lit(1).alias("segments"), (F.col("length") - ended.cast("long")).alias("loss"))
     packed = pack_vectors(items, PIECES, lay_out, rest.count(), ["doc_id", "start", "ids_crc32"],
-                          [LENGTH, MAX_SEGMENTS, LENGTH])
+                          [LENGTH, MAX_SEGMENTS, LENGTH], number="piece")
     return whole.union(packed)
 
 

@@ -98,3 +98,19 @@ def test_a_loss_limit_that_binds(spark):
     for b in tight:
         assert sum(r.tokens for r in b) <= 1024 and len(b) <= 16 and sum(r.loss for r in b) <= 400
     assert any(sum(r.loss for r in b) > 400 for b in idle)
+
+
+def test_repeated_rows_are_dealt_to_many_groups(spark):
+    """Identical rows, with an id and without: whole, and in groups of the usual size."""
+    rows = [(None, "the same text")] * 9000 + [(7, "another one")] * 6000 + [(1000 + i, prose(20, i)) for i in range(500)]
+    got = packing.pack_documents(spark, frame(spark, rows)).collect()
+    assert len(got) >= len(rows)
+    groups = {}
+    for r in got:
+        groups[r.sequence_id >> 33] = groups.get(r.sequence_id >> 33, 0) + 1
+    sizes = sorted(groups.values())
+    assert len(sizes) == -(-len(rows) // packing.GROUP) and sizes[-1] < 1.5 * packing.GROUP
+    by_id = {}
+    for r in got:
+        by_id[r.doc_id] = by_id.get(r.doc_id, 0) + r.length
+    assert by_id[None] == 9000 * len(ids("the same text")) and by_id[7] == 6000 * len(ids("another one"))
