@@ -84,17 +84,20 @@ def _peel(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int
     bucket, nor than ``percent`` of |x|.
     """
     for _ in range(PEELS):
-        nodes = members.select("node", "n", "c").distinct()
-        grams = keep(spark, sets.join(nodes, "node").select("node", "n", "c", F.explode("grams").alias("g")), "grams")
+        # one row per node: what it is asked is asked once, whatever the number of its buckets
+        nodes = keep(spark, members.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"),
+                                                        F.collect_list(F.struct("bkey", "least")).alias("at")), "nodes")
+        grams = keep(spark, sets.join(nodes.select("node", "n", "c"), "node").select("node", "n", "c", F.explode("grams").alias("g")), "grams")
         crossing = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")) \
             .filter("lo < hi").select("g", "df")
         able = (grams.join(crossing, "g").groupBy("node").agg(F.count("*").alias("u"), (F.sum("df") / F.max("n")).alias("w")))
-        able = keep(spark, able, "able")
-        left = members.select("bkey", "node", "n", "least", "c").join(able, "node").filter(
-            (100 + percent) * F.col("u") >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))))
-        left = _open(spark, left.select("bkey", "node", "n", "least", "c", "w"))
+        fits = F.filter("at", lambda b: (100 + percent) * F.col("u") >= percent * (
+            F.col("n") + F.greatest(b["least"], F.ceil(F.col("n") * percent / 100))))
+        left = nodes.join(able, "node").select("node", "n", "c", "w", fits.alias("at")).filter(F.size("at") > 0)
+        left = keep(spark, left.select("node", "n", "c", "w", F.explode("at").alias("b")).select("b.bkey", "node", "n", "b.least", "c", "w"), "left")
+        left, whole = _open(spark, left), left
         before, after = members.count(), left.count()
-        discard(spark, grams, able, members)
+        discard(spark, nodes, grams, whole, members)
         members = left
         if 10 * after > 9 * before or not after:
             break
