@@ -16,8 +16,9 @@ balanced in runs of the next level, until one run per source is left: its two do
 are the landing problem, solved by trying all choices.  A hot source is many runs; no task sees
 more than ``RUN`` rows of one group, and only ids and sizes are moved.
 
-Within a run large documents are decided first, so that small ones are left to land.  All
-random moves are seeded by source, run and level, so reruns agree.
+Within a run the largest open document is decided against all others together, which move a
+little each, so that small ones are left to land.  All random moves are seeded by source, run
+and level, so reruns agree.
 
 Defined cases: null and empty texts have size 0 and take 0 words (their repeats still follow
 the source's ratio).  A source without words has target 0.  Null sources are one source.
@@ -73,36 +74,35 @@ def targets(sized: DataFrame) -> DataFrame:
 def flight(p: list[float], a: list[float], rng: np.random.Generator) -> list[float]:
     """Moves ``p`` through the null space of two constraints until two components are open.
 
-    The constraints are the words (``a``) and the number of documents that are chosen.  Three
-    open documents at a time move along the null vector of their columns, in one of both
-    directions and as far as a component allows, with chances that keep every mean.
+    The constraints are the words (``a``) and the number of documents that are chosen.  Each step
+    moves the largest open document; all other open ones move against it, along the projection
+    of that document onto the null space, in one of both directions and as far as a component
+    allows, with chances that keep every mean.
     """
-    p = list(p)
-    draws = iter(rng.random(len(p) + 2).tolist())
-    waiting = iter([i for i, v in enumerate(p) if EDGE < v < 1 - EDGE])
-    active: list[int] = []
-    while True:
-        while len(active) < 3:
-            nxt = next(waiting, None)
-            if nxt is None:
-                return p
-            active.append(nxt)
-        x, y, z = active
-        # the cross product of the rows (a) and (1, 1, 1)
-        u = (a[y] - a[z], a[z] - a[x], a[x] - a[y])
-        if not any(u):
-            u = (1.0, -1.0, 0.0)
-        q = (p[x], p[y], p[z])
-        up = min((1 - v) / d if d > 0 else v / -d for v, d in zip(q, u) if d)
-        down = min(v / d if d > 0 else (1 - v) / -d for v, d in zip(q, u) if d)
-        step = up if next(draws) * (up + down) < down else -down
-        rest = []
-        for i, v, d in zip(active, q, u):
-            v += step * d
-            p[i] = 0.0 if v <= EDGE else 1.0 if v >= 1 - EDGE else v
-            if 0.0 < p[i] < 1.0:
-                rest.append(i)
-        active = rest
+    p, a = np.array(p, dtype=float), np.asarray(a, dtype=float)
+    left = np.flatnonzero((p > EDGE) & (p < 1 - EDGE))
+    left = left[np.argsort(-a[left], kind="stable")]
+    draws = iter(rng.random(len(left)).tolist())
+    while len(left) > 1:
+        mean = a[left[1:]].mean()
+        off, spread = a[left[0]] - mean, a[left[1:]] - mean
+        varied = spread @ spread
+        if varied < 0.1 and off > 0.1:
+            left = left[1:]     # all others have one size: no direction moves this one
+            continue
+        u = np.full(len(left), -1 / len(spread))
+        u[0] = 1.0
+        if varied >= 0.1:
+            u[1:] -= off / varied * spread
+        q = p[left]
+        with np.errstate(divide="ignore"):
+            high, low = (1 - q) / u, -q / u
+        up, down = np.maximum(high, low).min(), np.maximum(-high, -low).min()
+        q += (up if next(draws) * (up + down) < down else -down) * u
+        q[q <= EDGE], q[q >= 1 - EDGE] = 0.0, 1.0
+        p[left] = q
+        left = left[(q > 0) & (q < 1)]
+    return p.tolist()
 
 
 def land(p: list[float], a: list[float]) -> list[float]:

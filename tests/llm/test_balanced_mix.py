@@ -1,9 +1,13 @@
+import os
+
 import numpy as np
 import pytest
 
 from chainlens.llm import balanced_mix
 from tests.llm.common import COLUMNS, frame, prose, words
 
+SF = "/root/testdata/sf0.1"
+
 
 def brute_targets(sizes):
     """Weights 5, 2, 1 by code point, null last; capped at three times, excess shared again."""
@@ -87,6 +91,31 @@ def test_flight_keeps_totals():
     assert np.abs(mean - p[:20]).max() < 0.05
 
 
+def test_large_documents_are_not_left_to_land():
+    rng = np.random.default_rng(5)
+    for seed in range(20):
+        a = np.floor(np.exp(rng.normal(4.5, 1.3, 600))).clip(1, 20_000)
+        p = np.full(600, rng.uniform(0.05, 0.95))
+        q = balanced_mix.land(balanced_mix.flight(p.tolist(), a.tolist(), np.random.default_rng(seed)), a.tolist())
+        assert set(q) <= {0.0, 1.0}
+        assert abs(np.dot(q, a) - np.dot(p, a)) <= 0.002 * np.dot(p, a) and abs(sum(q) - sum(p)) <= 2
+
+
+@pytest.mark.parametrize("a", [[7.0] * 50, [0.0] * 30, [900.0] + [5.0] * 40, [900.0] + [5.0] * 40 + [6.0], [3.0, 1.0], [4.0]])
+def test_flight_of_like_sizes(a):
+    p = [0.4] * len(a)
+    q = balanced_mix.flight(p, a, np.random.default_rng(3))
+    assert sum(1 for v in q if 0 < v < 1) <= 2
+    assert sum(q) == pytest.approx(sum(p)) and np.dot(q, a) == pytest.approx(np.dot(p, a))
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
+def test_taken_words_come_near_every_target(spark):
+    rows, times = balanced_mix.mix(spark, spark.read.parquet(f"{SF}/documents.parquet"), carry=False)
+    got = rows.join(times, "row").selectExpr("source", "target", "size * times AS words").groupBy("source", "target").sum("words")
+    assert all(abs(r["sum(words)"] - r.target) <= 0.005 * r.target for r in got.collect())
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], COLUMNS)
     rows, times = balanced_mix.mix(spark, docs)
