@@ -2,9 +2,10 @@
 
 A template is license wording with markup: ``[[ ... ]]`` encloses an optional region (regions
 nest) and ``{{lo..hi}}`` a replaceable one of that many words.  Templates compile to token
-automata; all of them share one trie of states, so a word is looked up once for all.  A text
-carries a license where its words, from some place on, spell every mandatory word of a template
+automata, which run side by side as the states of one.  A text carries a license where its words, from some place on, spell every mandatory word of a template
 in order, optional regions whole or not at all.  The base phrases are templates without markup.
+``license_texts.py`` holds whole license texts and notices: one with a changed or missing
+mandatory word, or its first sentence alone, gets no label of it, only its share as ``score``.
 
 Each whole text is cut into words in one pass.  A place is a candidate if the word there starts
 some template; only those places run the automaton, so a text without such words costs one
@@ -25,20 +26,17 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from chainlens.llm.license_texts import WHOLE_TEXTS
 from chainlens.llm.scratch import table
 
 #: The contract's phrases and labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: License names and notices as their publishers word them, with markup for what
-#: may be left out or replaced.
-TEMPLATES = {
+#: How texts refer to a license without its wording, with markup for what may be
+#: left out or replaced.
+REFERENCES = {
     "apache-2.0": "licensed under the apache license [[ , ]] version 2 0 [[ the license ]]",
     "mit": "[[ released ]] under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-                "associated documentation files [[ the software ]] to deal in the software without restriction",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted "
-           "[[ subject to the limitations in the disclaimer below ]] provided that the following conditions are met",
     "gpl-notice": "licensed under the [[ terms of the ]] [[ gnu ]] general public license [[ as published by the free "
                   "software foundation ]] [[ either ]] version {{1..1}} [[ of the license ]]",
     "lgpl": "gnu lesser general public license",
@@ -50,10 +48,8 @@ TEMPLATES = {
                "[[ noderivatives ]] {{0..4}} license",
     "mpl-2.0": "subject to the terms of the mozilla public license [[ v ]] [[ version ]] 2 0",
     "copyright": "copyright [[ c ]] {{1..8}} all rights reserved",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "isc": "permission to use copy modify and [[ or ]] distribute this software for any purpose with or without fee is "
-           "hereby granted",
 }
+TEMPLATES = REFERENCES | WHOLE_TEXTS
 
 #: Lower-case letters, digits and every byte of a character beyond ASCII are word bytes.
 _SPACED = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
@@ -89,7 +85,7 @@ class Automaton:
         depth = needed = 0
         for p in parts:
             depth += (p == "[[") - (p == "]]")
-            needed += depth == 0 and p != "]]" and not p.startswith("{{")
+            needed += len(tokens(p)) if depth == 0 and not p.startswith("{{") else 0
         at, opened, seen = self.state(), [], 0
         self.free[0].append(at)
         for p in parts:

@@ -1,6 +1,6 @@
 import re
 
-from chainlens.llm import licenses
+from chainlens.llm import license_texts, licenses
 from tests.llm.common import COLUMNS, frame, lower, prose
 
 PHRASES = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
@@ -58,6 +58,49 @@ def test_automaton_equals_expansion():
             assert (labels == {"t"}) == want and (share == 1.0) == want
 
 
+def plain(template, chosen="one", optional=False):
+    """A text of the template: replaceable regions as their fewest words, optional ones all or none."""
+    out, depth = [], 0
+    for p in re.findall(r"\[\[|\]\]|\{\{\d+\.\.\d+\}\}|[^\s\[\]{}]+", template):
+        depth += (p == "[[") - (p == "]]")
+        if p in ("[[", "]]") or depth and not optional:
+            continue
+        out += [chosen] * int(p[2:].split(".")[0]) if p.startswith("{{") else [p]
+    return out
+
+
+def test_whole_license_texts(spark):
+    rows, want = [], {}
+    for label, template in license_texts.WHOLE_TEXTS.items():
+        for optional in (False, True):
+            text = plain(template, optional=optional)
+            want[len(rows)] = (label, True)
+            rows.append((len(rows), prose(30, 5) + "\n" + "\n// ".join(text).upper() + "\n" + prose(30, 6)))
+        text = plain(template)
+        # each tenth mandatory word changed, one at a time, and the text cut short
+        fixed = [i for i, w in enumerate(text) if w != "one" and re.search("[A-Za-z]", w)]
+        for i in fixed[1::10] + fixed[-1:]:
+            want[len(rows)] = (label, False)
+            rows.append((len(rows), " ".join(text[:i] + ["qqq"] + text[i + 1:])))
+        want[len(rows)] = (label, False)
+        rows.append((len(rows), " ".join(text[:len(text) // 2])))
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for d, (label, found) in want.items():
+        labels = set(got[d].labels.split(","))
+        assert (label in labels) == found, (label, rows[d][1])
+        assert not labels & set(license_texts.WHOLE_TEXTS) - {label} or label.startswith(("lgpl", "gpl")), (label, labels)
+
+
+def test_share_of_a_whole_text():
+    words = plain(license_texts.WHOLE_TEXTS["mit-text"])
+    tokens = licenses.tokens(" ".join(words))
+    machine = licenses.compile_templates({"mit-text": license_texts.WHOLE_TEXTS["mit-text"]})
+    shares = [machine.run(tokens[:n], 0)[1] for n in range(1, len(tokens) + 1)]
+    assert shares == sorted(shares) and shares[-1] == 1 and shares[-2] < 1
+    mandatory = len(tokens) - 2     # two words are the licensor's
+    assert shares[19] == 20 / mandatory
+
+
 def test_empty_and_repeated(spark):
     assert licenses.scan(spark.createDataFrame([], COLUMNS)).count() == 0
     assert licenses.scan(frame(spark, [(None, "cc by"), (1, "cc by"), (1, "cc by")])).filter("labels = 'cc-by'").count() == 3
