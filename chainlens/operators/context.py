@@ -263,18 +263,25 @@ def _with_new_message(conv: DataFrame) -> DataFrame:
 
 def conversation_pairs(conv: DataFrame) -> DataFrame:
     """Every history user turn paired with the immediately following turn's text when
-    that turn is an assistant turn (else ''); only the last six pairs are kept."""
-    x = _with_new_message(conv).filter(F.col("turn") < F.col("_new_turn"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    x = x.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("_next_role"),
-                 F.lead("text").over(w).alias("_next_text"))
-    pairs = x.filter(F.col("role") == "user").select(
-        "conv_id", F.col("turn").alias("user_turn"), F.col("text").alias("user_text"),
-        F.when(F.col("_next_role") == "assistant", F.coalesce(F.col("_next_text"), F.lit("")))
-        .otherwise(F.lit("")).alias("assistant_text"))
-    wd = Window.partitionBy("conv_id").orderBy(F.col("user_turn").desc())
-    return (pairs.withColumn("_r", F.row_number().over(wd)).filter(F.col("_r") <= HISTORY_PAIRS)
-            .withColumn("pair_no", (F.lit(HISTORY_PAIRS + 1) - F.col("_r")).cast("int")).drop("_r"))
+    that turn is an assistant turn (else ''); only the last six pairs are kept.
+
+    The last six are cut per partition before the shuffle; the turn that follows each is the first
+    turn between it and the next kept one, a grouped minimum, so a conversation of any length
+    is never one task."""
+    x = _with_new_message(conv).filter(F.col("turn") < F.col("_new_turn")).select("conv_id", "turn", "role", "text")
+    wd = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    kept = (x.filter(F.col("role") == "user").withColumn("_r", F.row_number().over(wd)).filter(F.col("_r") <= HISTORY_PAIRS)
+            .select("conv_id", F.col("turn").alias("user_turn"), F.col("text").alias("user_text"),
+                    (F.lit(HISTORY_PAIRS + 1) - F.col("_r")).cast("int").alias("pair_no")))
+    # at most six turns per conversation; a turn follows the latest of them before it
+    turns = kept.groupBy("conv_id").agg(F.collect_list("user_turn").alias("_kept"))
+    later = F.array_max(F.filter("_kept", lambda k: k < F.col("turn")))
+    following = (x.join(turns, "conv_id").withColumn("user_turn", later).filter("user_turn IS NOT NULL")
+                 .groupBy("conv_id", "user_turn").agg(F.min_by(F.struct("role", "text"), "turn").alias("_next")))
+    return kept.join(following, ["conv_id", "user_turn"], "left").select(
+        "conv_id", "user_turn", "user_text",
+        F.when(F.col("_next.role") == "assistant", F.coalesce(F.col("_next.text"), F.lit(""))).otherwise(F.lit("")).alias("assistant_text"),
+        "pair_no")
 
 
 def prompt_turns(conv: DataFrame, context_text: Column | None = None) -> DataFrame:

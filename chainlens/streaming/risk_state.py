@@ -11,16 +11,16 @@ per key, closes before crossings of the same ``seq``:
 The initial counts are the open risks in ``risk_event``.  State never expires (the
 source system keeps open risks forever).
 
-Each micro-batch is a plan of built-in functions: the batch's events per key are folded
-over the key's count by ``aggregate``, and counts and created risks are written under
-the batch's number (``foreachBatch``; a replayed batch writes the same folders again, so
-every risk is emitted once).
+Each micro-batch is a plan of built-in functions without a fold: only the first crossing between
+two closes of a key can create a risk, and it does so once the closes so far reach the count
+before the batch.  Counts and created risks are written under the batch's number
+(``foreachBatch``; a replayed batch writes the same folders again, so every risk is emitted
+once).
 
 Counts lie in hash buckets of about ``KEYS_PER_BUCKET`` keys, and a bucket has a version per batch that
 touched it (:class:`OpenCounts`).  A batch reads and writes the buckets of its own events only, so
-what it writes follows its events and not the state.  A key's events of one batch are a bounded list, because
-between two closes only the first crossing can create a risk and the others are dropped
-before the list is built.
+what it writes follows its events and not the state.  No key's events are gathered in one task: a hot key is
+a sum over ordered slices and grouped aggregates.
 
 The change log is written in slices of ``seq``, one after the other, so a key crosses
 micro-batches and its state carries over.  Within a slice a key's events lie in one file;
@@ -29,10 +29,11 @@ how many slices and files there are follows from the number of events.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.functions.predicates import as_of_lit
+from chainlens.operators.slices import in_slices, sum_before
 from chainlens.schema import OPEN_STATUSES, RISK_DELAYED, RISK_LOW_STOCK
 from chainlens.session import scratch_path
 from chainlens.streaming.triggers import inventory_candidates, shipment_candidates
@@ -40,6 +41,8 @@ from chainlens.streaming.triggers import inventory_candidates, shipment_candidat
 KEY = ["entity_type", "entity_id", "risk_type"]
 EVENT_SCHEMA = ("seq long, entity_type string, entity_id long, risk_type string, closes int, "
                 "risk_severity string, description string")
+EPOCH_SCHEMA = ("entity_type string, entity_id long, risk_type string, epoch long, "
+                "e struct<seq:bigint,risk_severity:string,description:string>")
 COUNT_SCHEMA = "entity_type string, entity_id long, risk_type string, open_risks long"
 OUT_SCHEMA = "seq long, entity_type string, entity_id long, risk_type string, risk_severity string, description string"
 SLICES = 3                 # micro-batches at least, so that state is always carried
@@ -76,37 +79,41 @@ def close_events(t) -> DataFrame:
         F.lit(None).cast("string").alias("description"))
 
 
-def _fold(events: str, before: str) -> F.Column:
-    """Struct (n, fired): the open count after ``events`` and the crossings that create a risk."""
-    none = F.array().cast("array<struct<seq:bigint,risk_severity:string,description:string>>")
+def _epochs(events: DataFrame) -> DataFrame:
+    """(KEY, epoch, e): the closes of the key up to then, and the first crossing of that epoch or NULL.
 
-    def step(acc, e):
-        n, fired = acc.getField("n"), acc.getField("fired")
-        creates = (e.kind == 1) & (n == 0)
-        row = F.array(F.struct(e.seq.alias("seq"), e.risk_severity.alias("risk_severity"),
-                               e.description.alias("description")))
-        after = F.when(e.kind == 0, F.greatest(n - e.closes, F.lit(0))).when(creates, F.lit(1)).otherwise(n)
-        return F.struct(after.cast("bigint").alias("n"),
-                        F.when(creates, F.concat(fired, row)).otherwise(fired).alias("fired"))
+    An epoch lies between two closes.  The closes before an event are a two-level sum over ordered
+    slices, so a key with a third of a batch's events is spread over them."""
+    kind = F.when(F.col("closes") > 0, F.lit(0)).otherwise(F.lit(1))
+    x = events.select(F.struct(*KEY).alias("key"), "seq", kind.alias("kind"), "closes", "risk_severity", "description")
+    x = sum_before(in_slices(x, "key", "seq", "kind", name="risk-events"), "key", F.col("closes"), "before")
+    crossing = F.when(F.col("kind") == 1, F.struct("seq", "risk_severity", "description"))
+    return x.groupBy("key", (F.col("before") + F.col("closes")).alias("epoch")).agg(F.min(crossing).alias("e")).select(
+        "key.*", "epoch", "e")
+
+
+def _created(epochs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The crossings that create a risk: the first of each epoch that the count enters at 0.
 
-    start = F.struct(F.coalesce(F.col(before), F.lit(0)).cast("bigint").alias("n"), none.alias("fired"))
-    return F.aggregate(F.coalesce(F.col(events), F.array()), start, step)
+    A key's count is 0 once its closes reach what was open before; from there each close leaves 0."""
+    return (epochs.filter("e IS NOT NULL").join(counts, KEY, "left")
+            .filter(F.col("epoch") >= F.coalesce("open_risks", F.lit(0)))
+            .select("e.seq", *KEY, "e.risk_severity", "e.description"))
+
+
+def _counted(epochs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The counts (KEY, open_risks) after the batch of ``epochs``, from those before it."""
+    last = epochs.groupBy(*KEY).agg(F.max("epoch").alias("closed"),
+                                    F.max_by(F.col("e").isNotNull(), "epoch").alias("crossed"))
+    before = F.coalesce("open_risks", F.lit(0))
+    after = (F.when(F.col("closed").isNull(), before).when(F.col("closed") < before, before - F.col("closed"))
+             .otherwise(F.col("crossed").cast("long")))
+    return counts.join(last, KEY, "full_outer").select(*KEY, after.cast("bigint").alias("open_risks"))
 
 
 def _advance(events: DataFrame, counts: DataFrame) -> DataFrame:
-    """Fold one micro-batch over the counts: KEY, open_risks (new), fired."""
-    kind = F.when(F.col("closes") > 0, F.lit(0)).otherwise(F.lit(1))
-    x = events.withColumn("kind", kind)
-    # the epoch of an event is the closes before it; a crossing matters if it is its epoch's first
-    order = Window.partitionBy(*KEY).orderBy("seq", "kind")
-    x = x.withColumn("epoch", F.sum("closes").over(order))
-    first = (x.filter("kind = 1").groupBy(*KEY, "epoch")
-             .agg(F.min(F.struct("seq", "kind", "closes", "risk_severity", "description")).alias("e")))
-    kept = first.select(*KEY, "e").unionByName(x.filter("kind = 0").select(
-        *KEY, F.struct("seq", "kind", "closes", "risk_severity", "description").alias("e")))
-    per_key = kept.groupBy(*KEY).agg(F.array_sort(F.collect_list("e")).alias("events"))
-    both = counts.join(per_key, KEY, "full_outer").withColumn("f", _fold("events", "open_risks"))
-    return both.select(*KEY, F.col("f.n").alias("open_risks"), F.col("f.fired").alias("fired"))
+    """The counts (KEY, open_risks) after one batch of events."""
+    return _counted(_epochs(events), counts)
 
 
 def write_log(events: DataFrame, path: str, slices: int = SLICES, rows_per_file: int = ROWS_PER_FILE) -> int:
@@ -183,12 +190,11 @@ def run_risk_state_stream(spark: SparkSession, events: DataFrame, initial: DataF
         session = df.sparkSession
         own = OpenCounts(session, state.root, state.buckets)
         step = f"{root}/steps/v={number}"
-        _advance(df, own.read(number, own.touched(df))).write.mode("overwrite").parquet(step)
-        done = session.read.parquet(step)
-        own.write(done.select(*KEY, "open_risks"), number + 1, own.versions(number))
-        done.select(*KEY, F.explode("fired").alias("e")).select(
-            F.col("e.seq").alias("seq"), *KEY, F.col("e.risk_severity").alias("risk_severity"),
-            F.col("e.description").alias("description")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        _epochs(df).write.mode("overwrite").parquet(f"{step}/epochs")
+        epochs, before = session.read.schema(EPOCH_SCHEMA).parquet(f"{step}/epochs"), own.read(number, own.touched(df))
+        _counted(epochs, before).write.mode("overwrite").parquet(f"{step}/counts")
+        own.write(session.read.schema(COUNT_SCHEMA).parquet(f"{step}/counts"), number + 1, own.versions(number))
+        _created(epochs, before).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files).parquet(src)
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)

@@ -184,6 +184,50 @@ def test_stream_in_buckets_equals_one_bucket(spark, keys_per_bucket):
     assert {(x.seq, x.description) for x in got.collect()} == want
 
 
+def test_stream_of_a_hot_key(spark):
+    """One key with most events: its epochs lie in several slices, and what it fires equals the loop."""
+    r = random.Random(12)
+    rows = [(i, "Inventory", r.choice([1, 1, 1, 2, 3]), "Low Stock", r.choice([0, 0, 0, 1, 2]), "High", f"e{i}") for i in range(2000)]
+    events = spark.createDataFrame(rows, risk_state.EVENT_SCHEMA).repartition(5)
+    x = slices.in_slices(events.select("entity_id", "seq"), "entity_id", "seq")
+    assert x.filter("entity_id = 1").select(slices.SLICE).distinct().count() > 1
+    before = {1: 100, 2: 0, 4: 3}
+    counts = spark.createDataFrame([("Inventory", i, "Low Stock", n) for i, n in before.items()], risk_state.COUNT_SCHEMA)
+    now, want = dict(before), set()
+    for seq, _, key, _, closes, _, _ in rows:
+        if closes:
+            now[key] = max(0, now.get(key, 0) - closes)
+        elif now.get(key, 0) == 0:
+            now[key] = 1
+            want.add((seq, key))
+    epochs = risk_state._epochs(events)
+    assert {(x.seq, x.entity_id) for x in risk_state._created(epochs, counts).collect()} == want
+    assert {x.entity_id: x.open_risks for x in risk_state._counted(epochs, counts).collect()} == now
+
+
+# -- C3: a long conversation -------------------------------------------------------
+
+
+def test_pairs_of_a_hot_conversation(spark):
+    r = random.Random(4)
+    rows = [(c, turn, r.choice(["user", "assistant", "assistant", "system", None]), r.choice([None, "", f"t{c}.{turn}"]))
+            for c, n in ((1, 3000), (2, 9), (3, 1), (4, 40), (None, 6)) for turn in r.sample(range(2 * n), n)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(6)
+    want = set()
+    for c in (1, 2, 3, 4):
+        turns = sorted(((turn, role, text) for k, turn, role, text in rows if k == c), key=lambda x: x[0])
+        users = [x[0] for x in turns if x[1] == "user"]
+        old = [x for x in turns if users and x[0] < users[-1]]
+        pairs = [(x, old[i + 1] if i + 1 < len(old) else None) for i, x in enumerate(old) if x[1] == "user"][-6:]
+        for i, (x, after) in enumerate(pairs):
+            answer = (after[2] or "") if after and after[1] == "assistant" else ""
+            want.add((c, x[0], x[2], answer, 6 - len(pairs) + i + 1))
+    df = context.conversation_pairs(conv)
+    got = df.select("conv_id", "user_turn", "user_text", "assistant_text", "pair_no").collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
 # -- C2: text of a large tenant ----------------------------------------------------
 
 
