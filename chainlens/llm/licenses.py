@@ -2,8 +2,9 @@
 
 A template is license wording with markup: ``[[ ... ]]`` encloses an optional region (regions
 nest) and ``{{lo..hi}}`` a replaceable one of that many words.  Templates compile to token
-automata, which run side by side as the states of one.  A text carries a license where its words, from some place on, spell every mandatory word of a template
-in order, optional regions whole or not at all.  The base phrases are templates without markup.
+automata, which run side by side as the states of one.  A text carries a license where its
+words, from some place on, spell every mandatory word of a template in order, optional regions
+whole or not at all.  The base phrases are templates without markup.
 ``license_texts.py`` holds whole license texts and notices: one with a changed or missing
 mandatory word, or its first sentence alone, gets no label of it, only its share as ``score``.
 
