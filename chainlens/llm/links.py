@@ -75,6 +75,13 @@ def _open(spark: SparkSession, members: DataFrame) -> DataFrame:
     return keep(spark, members.join(mixed, "bkey"), "open")
 
 
+def _crossing(spark: SparkSession, grams: DataFrame) -> DataFrame:
+    """(g, df) of the shingles of ``grams`` (c, g) that occur in more than one component; written, so that
+    the shuffle that counts them is gone before they are joined."""
+    counts = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df"))
+    return keep(spark, counts.filter("lo < hi").select("g", "df"), "crossing")
+
+
 def _peel(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``members`` without those that can have no link to an open member of another component,
     and with ``w``, the mean number of open members that hold a shingle of the member.
@@ -87,17 +94,16 @@ def _peel(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int
         # one row per node: what it is asked is asked once, whatever the number of its buckets
         nodes = keep(spark, members.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"),
                                                         F.collect_list(F.struct("bkey", "least")).alias("at")), "nodes")
-        grams = keep(spark, sets.join(nodes.select("node", "n", "c"), "node").select("node", "n", "c", F.explode("grams").alias("g")), "grams")
-        crossing = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")) \
-            .filter("lo < hi").select("g", "df")
-        able = (grams.join(crossing, "g").groupBy("node").agg(F.count("*").alias("u"), (F.sum("df") / F.max("n")).alias("w")))
+        grams = keep(spark, sets.join(nodes.select("node", "c"), "node").select("node", "c", F.explode("grams").alias("g")), "grams")
+        crossing = _crossing(spark, grams)
+        able = grams.join(crossing, "g").groupBy("node").agg(F.count("*").alias("u"), F.sum("df").alias("w"))
         fits = F.filter("at", lambda b: (100 + percent) * F.col("u") >= percent * (
             F.col("n") + F.greatest(b["least"], F.ceil(F.col("n") * percent / 100))))
-        left = nodes.join(able, "node").select("node", "n", "c", "w", fits.alias("at")).filter(F.size("at") > 0)
+        left = nodes.join(able, "node").select("node", "n", "c", (F.col("w") / F.col("n")).alias("w"), fits.alias("at")).filter(F.size("at") > 0)
         left = keep(spark, left.select("node", "n", "c", "w", F.explode("at").alias("b")).select("b.bkey", "node", "n", "b.least", "c", "w"), "left")
         left, whole = _open(spark, left), left
         before, after = members.count(), left.count()
-        discard(spark, nodes, grams, whole, members)
+        discard(spark, nodes, grams, crossing, whole, members)
         members = left
         if 10 * after > 9 * before or not after:
             break
@@ -117,15 +123,14 @@ def _prefix_pairs(spark: SparkSession, members: DataFrame, sets: DataFrame, perc
     need = F.ceil(percent * (F.col("n") + F.col("least")) / (100 + percent))
     nodes = nodes.select("node", "n", "c", (F.col("n") - need + 1).alias("front"))
     grams = keep(spark, sets.join(nodes, "node").select("node", "n", "c", "front", F.explode("grams").alias("g")), "grams")
-    crossing = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")) \
-        .filter("lo < hi").select("g", "df")
+    crossing = _crossing(spark, grams)
     own = Window.partitionBy("node")     # one set
     front = (grams.join(crossing, "g").withColumn("u", F.count("*").over(own))
              .withColumn("place", F.row_number().over(own.orderBy("df", "g")))
              .withColumn("place", F.col("place") + F.col("n") - F.col("u"))
              .filter("place <= front").select("g", "node", "n", "c", (F.col("n") - F.col("place") + 1).alias("rest")))
     front = keep(spark, front, "front")
-    discard(spark, grams)
+    discard(spark, grams, crossing)
     mixed = front.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("g")
     front = keep(spark, front.join(mixed, "g"), "front")
     # where this is the first common shingle, no more than ``rest`` of either set are common
