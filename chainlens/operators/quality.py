@@ -199,9 +199,9 @@ def risk_dangling_refs(t) -> DataFrame:
     """Q4 for the polymorphic reference: risks whose (entity_type, entity_id) names no row.
 
     The six entity key sets are unioned into one (entity_type, entity_id) frame so a
-    single anti join checks every risk."""
+    single anti join checks every risk.  Only keys are looked at, so no entity table is built for them."""
     keys = reduce(lambda a, b: a.unionByName(b), [
-        t[tbl].select(F.lit(et).alias("entity_type"), F.col(pk).alias("entity_id"))
+        t.keys(tbl, pk).select(F.lit(et).alias("entity_type"), F.col(pk).alias("entity_id"))
         for et, (tbl, pk) in ENTITY_TABLES.items()])
     return (t.risk_event.join(keys, ["entity_type", "entity_id"], "left_anti")
             .select("risk_id", "entity_type", "entity_id", "risk_type"))

@@ -58,8 +58,14 @@ def published(spark: SparkSession, root: str, name: str, build) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def present(spark: SparkSession, root: str, name: str) -> bool:
+    fs, path = file_system(spark, f"{root}/{name}")
+    return fs.exists(path)
+
+
 def materialized_domain(spark: SparkSession, sf_dir: str, names=DERIVED) -> Tables:
     """The domain tables; a derived one is built when a query asks for it."""
     t = star_to_domain(spark, sf_dir)
     root = f"{checkpoint_root(spark).rstrip('/')}/domain-{_fingerprint(spark, sf_dir)}"
-    return t.with_factories({n: (lambda n=n: published(spark, root, n, lambda: t[n])) for n in names})
+    built = {n: (lambda n=n: published(spark, root, n, lambda: t[n])) for n in names}
+    return t.with_factories(built, {n: (lambda n=n: built[n]() if present(spark, root, n) else t[n]) for n in names})

@@ -27,6 +27,7 @@ class Tables:
         self.spark = spark
         self._factories = dict(factories)
         self._cache: dict[str, DataFrame] = {}
+        self._unbuilt: dict[str, Callable[[], DataFrame]] = {}
         self.as_of = as_of
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -47,9 +48,19 @@ class Tables:
     def names(self) -> list[str]:
         return sorted(self._factories)
 
-    def with_factories(self, factories: dict[str, Callable[[], DataFrame]]) -> "Tables":
-        """A new bundle that builds the given tables by other factories, still lazily."""
+    def keys(self, name: str, column: str) -> DataFrame:
+        """One key column of a table.  Of a table that nobody built yet the column alone is derived,
+        and the table is not built for it."""
+        if name in self._cache or name not in self._unbuilt:
+            return self[name].select(column)
+        return self._unbuilt[name]().select(column)
+
+    def with_factories(self, factories: dict[str, Callable[[], DataFrame]],
+                       unbuilt: dict[str, Callable[[], DataFrame]] | None = None) -> "Tables":
+        """A new bundle that builds the given tables by other factories, still lazily; ``unbuilt`` gives
+        their rows without building them, for :meth:`keys`."""
         out = Tables(self.spark, {**self._factories, **factories}, self.as_of)
+        out._unbuilt = {**{n: f for n, f in self._unbuilt.items() if n not in factories}, **(unbuilt or {})}
         if "raw" in self.__dict__:
             out.raw = self.raw
         return out
@@ -60,6 +71,7 @@ class Tables:
         for k, df in frames.items():
             fac[k] = (lambda d=df: d)
         out = Tables(self.spark, fac, self.as_of)
+        out._unbuilt = {n: f for n, f in self._unbuilt.items() if n not in frames}
         for k, v in self._cache.items():
             if k not in frames:
                 out._cache[k] = v

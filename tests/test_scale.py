@@ -363,3 +363,18 @@ def test_json_keeps_nulls_and_decimals(spark, t, tmp_path):
     quality.write_json(t.product, f"{tmp_path}/json")
     told = [json.loads(line) for f in os.listdir(f"{tmp_path}/json") if f.endswith(".json") for line in open(f"{tmp_path}/json/{f}")]
     assert len(told) == 3 and all("weight_kg" in r for r in told)
+
+
+# -- M1: tasks that follow the number of rows; Q4: keys alone -----------------------
+
+
+def test_dangling_refs_build_no_entity_table(spark, t):
+    def refuse(name):
+        raise AssertionError(f"{name} was built for its keys")
+
+    names = [n for n, _ in quality.ENTITY_TABLES.values()]
+    bare = t.with_factories({n: (lambda n=n: refuse(n)) for n in names}, {n: (lambda n=n: t[n]) for n in names})
+    got = quality.risk_dangling_refs(bare).collect()
+    assert sorted(r.risk_id for r in got) == sorted(r.risk_id for r in quality.risk_dangling_refs(t).collect()) == [3]
+    gone = bare.replace(supplier=t.supplier.filter("supplier_id <> 10"))
+    assert sorted(r.risk_id for r in quality.risk_dangling_refs(gone).collect()) == [3, 5]
