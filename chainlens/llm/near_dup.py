@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.llm.links import linked_components
-from chainlens.llm.scratch import keep, table
+from chainlens.llm.scratch import discard, keep, table
 from chainlens.llm.shingles import Circulant, fingerprint, shingle_set
 
 PERCENT = 75
@@ -73,8 +73,8 @@ def _components(spark: SparkSession, rows: DataFrame, percent: int) -> tuple[Dat
                   .filter("copies > 1").drop("copies"), "copies")
     named = some.select("row", "doc_id", "n_shingles", "f1", "f2").join(copies, ["f1", "f2"], "left") \
         .withColumn("node", F.coalesce("node", "row"))
-    extra = some.select("row", "f1", "f2").join(copies, ["f1", "f2"]).filter("row != node").select("row")
-    nodes = some.join(keep(spark, extra, "extra"), "row", "left_anti")
+    extra = keep(spark, some.select("row", "f1", "f2").join(copies, ["f1", "f2"]).filter("row != node").select("row"), "extra")
+    nodes = some.join(extra, "row", "left_anti")
 
     keys = nodes.select(F.explode("bands").alias("bkey"), F.col("row").alias("node"), F.col("n_shingles").alias("n"))
     shared = keep(spark, keys.groupBy("bkey").agg(F.count("*").alias("m"), F.min("n").alias("least"))
@@ -94,6 +94,7 @@ def _components(spark: SparkSession, rows: DataFrame, percent: int) -> tuple[Dat
     comp = linked_components(spark, members, sets, percent)
     placed = keep(spark, named.select("row", "doc_id", "node").join(comp, "node", "left")
                   .select("row", "doc_id", F.coalesce("comp", "node").alias("comp")), "placed")
+    discard(spark, copies, extra, shared, members, sets)
     return signed, placed
 
 
@@ -118,7 +119,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     rows = keep(spark, docs.select(F.monotonically_increasing_id().alias("row"), whole), "near-rows")
-    _, placed = _components(spark, rows.select("row", "doc.doc_id", "doc.text"), PERCENT)
+    signed, placed = _components(spark, rows.select("row", "doc.doc_id", "doc.text"), PERCENT)
+    discard(spark, signed)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     heads = placed.groupBy("comp").agg(first.alias("first"), F.count("*").alias("m")).filter("m > 1")
     drop = placed.select("row", "comp").join(keep(spark, heads.select("comp", F.col("first.row").alias("keep_row")), "heads"), "comp")

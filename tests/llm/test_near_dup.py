@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -110,3 +111,14 @@ def test_stage_judges_rows_and_not_ids(spark):
     stays = [x for x in got if x[0] == 7]
     assert len(stays) == 1 and stays[0][1] in (three, near)
     assert [x for x in got if x[0] != 7] == sorted([(0, four), (0, prose(60, 4200)), (1, one), (5, two)])
+
+
+def test_the_stage_leaves_no_table_that_nobody_reads(spark, monkeypatch):
+    from chainlens.llm import scratch
+    made = []
+    path = scratch.scratch_path
+    monkeypatch.setattr(scratch, "scratch_path", lambda s, name: made.append(path(s, name)) or made[-1])
+    got = near_dup.stage(spark, frame(spark, rows_of_edits()), "")
+    left = {os.path.basename(p).split("-")[1] for p in made if os.path.exists(p)}
+    assert any("sets" in p for p in made) and not left & {"signed", "sets", "members", "shared", "copies", "extra"}
+    assert got.count() > 0
