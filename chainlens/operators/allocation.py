@@ -43,6 +43,10 @@ from chainlens.session import written as table_written
 
 #: Requests of one product that a task folds at most.
 BLOCK = 200_000
+#: Requests that a task of the fold sorts with their products' stock rows, about.
+PER_TASK = 100_000
+#: Shuffled bytes of a task that joins requests to their product's best row.
+JOIN_BYTES = "8MB"
 
 _OUT_SCHEMA = ("record string, seq long, product_id long, inventory_id long, status string, reason string, "
                "stock_before int, stock_after int, minimum_threshold int, company_id long, quantity int, "
@@ -159,14 +163,16 @@ def _rejected(requests: DataFrame, reason) -> DataFrame:
 
 
 def _folded(requests: DataFrame, stock: DataFrame) -> DataFrame:
-    """The fold of ``requests`` over ``stock`` (product_id, inventory_id, quantity, threshold)."""
+    """The fold of ``requests`` over ``stock`` (product_id, inventory_id, quantity, threshold); its tasks
+    follow the number of requests."""
+    tasks = max(requests.sparkSession.sparkContext.defaultParallelism, -(-requests.count() // PER_TASK))
     none = F.lit(None)
     rows = stock.select("product_id", F.lit(0).alias("kind"), F.col("inventory_id").alias("seq"), F.col("quantity_available").alias("qty"),
                         F.col("minimum_threshold").alias("thr"), F.lit(True).alias("valid"), none.cast("bigint").alias("company_id"),
                         none.cast("string").alias("priority"))
     asks = requests.select("product_id", F.lit(1).alias("kind"), "seq", F.col("quantity").alias("qty"),
                            none.cast("int").alias("thr"), "valid", "company_id", "priority")
-    ordered = rows.unionByName(asks).repartition("product_id").sortWithinPartitions("product_id", "kind", "seq")
+    ordered = rows.unionByName(asks).repartition(tasks, "product_id").sortWithinPartitions("product_id", "kind", "seq")
     return ordered.mapInPandas(_fold, _OUT_SCHEMA)
 
 
@@ -209,17 +215,20 @@ def run_allocation(requests: DataFrame, inventory: DataFrame, companies: DataFra
                    block: int = BLOCK) -> DataFrame:
     """One 'request' record per request and one 'stock' record per stock row whose quantity
     changed (its final quantity)."""
+    spark = requests.sparkSession
     best = best_stock_row(inventory, products).select("product_id", F.col("quantity_available").alias("_best"))
     req = _validated(requests, companies).join(best, "product_id", "left")
     wants = F.col("quantity")
     reason = (F.when(F.col("_best").isNull(), "no inventory").when(wants > F.col("_best"), "insufficient stock")
               .when(F.coalesce(wants, F.lit(0)) <= 0, "invalid request"))
-    req = req.withColumn("_reason", reason)
+    # written, so that the fold's tasks follow the number of rows and hold none of this join's sorts
+    req = table_written(spark, req.select("seq", "company_id", "product_id", "quantity", "priority", "valid", reason.alias("_reason")),
+                        "requests", JOIN_BYTES)
     early = _rejected(req.filter("_reason IS NOT NULL"), F.col("_reason"))
     open_ = req.filter("_reason IS NULL")
     stock = inventory.select("product_id", "inventory_id", "quantity_available", "minimum_threshold")
     hot = open_.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("product_id")
-    hot = table_written(requests.sparkSession, hot, "hot-products")
+    hot = table_written(spark, hot, "hot-products")
     if hot.isEmpty():
         asked = open_.select("product_id").distinct()
         return early.unionByName(_folded(open_, stock.join(asked, "product_id", "left_semi")))

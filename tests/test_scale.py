@@ -368,6 +368,20 @@ def test_json_keeps_nulls_and_decimals(spark, t, tmp_path):
 # -- M1: tasks that follow the number of rows; Q4: keys alone -----------------------
 
 
+def test_the_fold_has_tasks_by_its_rows(spark, t, monkeypatch):
+    r = random.Random(12)
+    stock = spark.createDataFrame([(i, i % 60, 1, r.randint(0, 90), 0, None, 5, "In Stock") for i in range(120)], SCHEMAS["inventory"])
+    product = spark.createDataFrame([(i, "p", 10, None, None, None, None, True) for i in range(60)], SCHEMAS["product"])
+    asks = spark.createDataFrame([(i, 1, r.choice([*range(62), None]), r.choice([None, 0, 1, 5, 30, 200]), None) for i in range(900)],
+                                 SCHEMAS["order_request"])
+    want = allocation.run_allocation(asks, stock, t.company, product)
+    monkeypatch.setattr(allocation, "PER_TASK", 30)
+    got = allocation.run_allocation(asks, stock, t.company, product)
+    tasks = re.search(r"hashpartitioning\(product_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString())
+    assert int(tasks[1]) >= 10
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_dangling_refs_build_no_entity_table(spark, t):
     def refuse(name):
         raise AssertionError(f"{name} was built for its keys")
