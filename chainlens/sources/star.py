@@ -18,6 +18,7 @@ from chainlens.sources.tables import Tables
 
 AS_OF = datetime.date(1998, 6, 15)
 STATUS_SLICE = 1_000_000     # events of one window of the status log
+HOT_LINES = 1_000_000        # lines of a part beyond which its stock rows are summed in chunks
 
 
 def _null(type_name: str) -> Column:
@@ -248,33 +249,49 @@ class StarMapping:
         The first line of a row is its insert and carries no OLD values; it is not
         an update, so it is not part of the change log.
 
-        The running sum is a two-level prefix sum so that no stock row's lines must sit
-        in one task: each (row, ship month) chunk is numbered and summed locally, and a
-        per-row window over its (at most a few hundred) chunks gives every chunk its
-        offset.  A stock row holding a third of all lines is thus spread over its months.
+        A stock row is one part's.  Parts of ``HOT_LINES`` lines at most are dealt once, by part, and
+        a row's lines are summed by a window.  The rows of the few parts beyond are a two-level prefix
+        sum, so that no such row's lines must sit in one task: each (row, ship month) chunk is numbered
+        and summed locally, and a per-row window over its (at most a few hundred) chunks gives every
+        chunk its offset.  A stock row holding a third of all lines is thus spread over its months.
         """
         lines = self._lines_with_region("l_partkey", "l_quantity", "l_shipdate", "l_orderkey",
                                         "l_linenumber", "l_extendedprice")
         part = self.raw("part").select("p_partkey", "p_size")
         order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
-        x = lines.join(part, lines.l_partkey == part.p_partkey).select(
-            (F.col("l_partkey") * 5 + F.col("n_regionkey")).alias("inventory_id"),
+        # at most one in HOT_LINES lines
+        hot = (self.raw("lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_LINES)
+               .select(F.collect_list("l_partkey")).scalar())
+        x = lines.withColumn("hot", F.array_contains(hot, F.col("l_partkey")))
+        x = x.join(part, x.l_partkey == part.p_partkey).select(
+            "hot", "l_partkey", (F.col("l_partkey") * 5 + F.col("n_regionkey")).alias("inventory_id"),
             F.col("l_quantity").cast("bigint").alias("q"), *order,
             (F.lit(2) * F.col("p_size")).cast("int").alias("thr"))
+        out = ["inventory_id", "thr", "q", "rn_off", "local_rn", "sum_off", "local_sum"]
+
+        def summed(df: DataFrame, *by: str) -> DataFrame:
+            w = Window.partitionBy(*by).orderBy(*order)
+            up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            known = F.last(F.when(F.col("q").isNotNull(), F.col("chunk")), ignorenulls=True)
+            return df.select("*", F.row_number().over(w).alias("local_rn"), F.sum("q").over(up_to).alias("local_sum"),
+                             known.over(up_to).alias("known"))
+
         # chunk = ship month: the leading ordering column, so a row's chunks are contiguous
         # runs of its order, and the split is a pure function of the data (re-runs and
         # retried tasks see the same chunks)
         x = x.withColumn("chunk", F.year("l_shipdate") * 12 + F.month("l_shipdate"))
-        w = Window.partitionBy("inventory_id", "chunk").orderBy(*order)
-        x = x.select("inventory_id", "chunk", "thr", "q", F.row_number().over(w).alias("local_rn"),
-                     F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-                     .alias("local_sum"))
-        chunks = x.groupBy("inventory_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("total"))
+        # the join has dealt the lines by part already
+        whole = summed(x.filter(~F.col("hot")), "l_partkey", "inventory_id").filter("inventory_id IS NOT NULL AND chunk IS NOT NULL")
+        # as in a chunk, the level is not known before a line of the month has a quantity
+        whole = whole.withColumn("local_sum", F.when(F.col("known") == F.col("chunk"), F.col("local_sum")))
+        whole = whole.select("*", F.lit(0).alias("rn_off"), F.lit(0).alias("sum_off"))
+        z = summed(x.filter("hot"), "inventory_id", "chunk")
+        chunks = z.groupBy("inventory_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("total"))
         before = Window.partitionBy("inventory_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         offsets = chunks.select("inventory_id", "chunk",
                                 F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rn_off"),
                                 F.coalesce(F.sum("total").over(before), F.lit(0)).alias("sum_off"))
-        y = x.join(offsets, ["inventory_id", "chunk"])
+        y = whole.select(*out).union(z.join(offsets, ["inventory_id", "chunk"]).select(*out))
         running = F.col("sum_off") + F.col("local_sum")
         seq = (F.col("rn_off") + F.col("local_rn")).cast("bigint")
         return y.filter(seq > 1).select(

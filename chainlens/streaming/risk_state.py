@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from chainlens.functions.predicates import as_of_lit
 from chainlens.operators.slices import in_slices, sum_before
 from chainlens.schema import OPEN_STATUSES, RISK_DELAYED, RISK_LOW_STOCK
-from chainlens.session import scratch_path
+from chainlens.session import scratch_path, written
 from chainlens.streaming.triggers import inventory_candidates, shipment_candidates
 
 KEY = ["entity_type", "entity_id", "risk_type"]
@@ -82,14 +82,19 @@ def close_events(t) -> DataFrame:
 def _epochs(events: DataFrame) -> DataFrame:
     """(KEY, epoch, e): the closes of the key up to then, and the first crossing of that epoch or NULL.
 
-    An epoch lies between two closes.  The closes before an event are a two-level sum over ordered
-    slices, so a key with a third of a batch's events is spread over them."""
+    An epoch lies between two closes.  A key with closes alone, or crossings alone, has one row, and takes
+    one grouped aggregate.  Only the events of the other keys are put in order: the closes before an event
+    are a two-level sum over ordered slices, so a key with a third of a batch's events is spread over them."""
+    crossing = F.when(F.col("closes") > 0, None).otherwise(F.struct("seq", "risk_severity", "description"))
+    x = events.select(F.struct(*KEY).alias("key"), "seq", "closes", "risk_severity", "description")
+    keys = written(x.sparkSession, x.groupBy("key").agg(F.sum("closes").alias("epoch"), F.min(crossing).alias("e")), "risk-keys")
+    both = (F.col("epoch") > 0) & F.col("e").isNotNull()
+    mixed = keys.filter(both).select(F.col("key").alias("_mixed"))
     kind = F.when(F.col("closes") > 0, F.lit(0)).otherwise(F.lit(1))
-    x = events.select(F.struct(*KEY).alias("key"), "seq", kind.alias("kind"), "closes", "risk_severity", "description")
+    x = x.join(mixed, F.col("key").eqNullSafe(F.col("_mixed")), "left_semi").withColumn("kind", kind)
     x = sum_before(in_slices(x, "key", "seq", "kind", name="risk-events"), "key", F.col("closes"), "before")
-    crossing = F.when(F.col("kind") == 1, F.struct("seq", "risk_severity", "description"))
-    return x.groupBy("key", (F.col("before") + F.col("closes")).alias("epoch")).agg(F.min(crossing).alias("e")).select(
-        "key.*", "epoch", "e")
+    x = x.groupBy("key", (F.col("before") + F.col("closes")).alias("epoch")).agg(F.min(crossing).alias("e"))
+    return keys.filter(~both).unionByName(x).select("key.*", "epoch", "e")
 
 
 def _created(epochs: DataFrame, counts: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from chainlens.operators import allocation, context, observed, quality, risks, s
 from chainlens.operators.cascade import cascade, closure_order
 from chainlens.operators.trigrams import SubstringIndex
 from chainlens.schema import SCHEMAS
+from chainlens.sources import star
 from chainlens.streaming import risk_state
 from tests.fixture import AS_OF, make_tables
 
@@ -392,3 +393,70 @@ def test_dangling_refs_build_no_entity_table(spark, t):
     assert sorted(r.risk_id for r in got) == sorted(r.risk_id for r in quality.risk_dangling_refs(t).collect()) == [3]
     gone = bare.replace(supplier=t.supplier.filter("supplier_id <> 10"))
     assert sorted(r.risk_id for r in quality.risk_dangling_refs(gone).collect()) == [3, 5]
+
+
+# -- E3: what the order costs ------------------------------------------------------
+
+
+def test_only_keys_with_closes_and_crossings_are_put_in_order(spark, monkeypatch):
+    rows = [(s, "Inventory", k, "Low Stock", c, None if c else "High", f"e{s}") for s, k, c in (
+        *[(i, 1, 0) for i in range(50)], (60, 2, 1), (61, 2, 2), (70, 3, 0), (71, 3, 1), (72, 3, 0), (73, None, 0), (74, None, 1))]
+    seen = []
+    inner = risk_state.in_slices
+    monkeypatch.setattr(risk_state, "in_slices", lambda df, *a, **b: seen.append(df.count()) or inner(df, *a, **b))
+    got = {(x.entity_id, x.epoch): x.e and x.e.seq for x in risk_state._epochs(spark.createDataFrame(rows, risk_state.EVENT_SCHEMA)).collect()}
+    assert seen == [5]
+    assert got == {(1, 0): 0, (2, 3): None, (3, 0): 70, (3, 1): 72, (None, 0): 73, (None, 1): None}
+
+
+def small_star(spark, monkeypatch):
+    """(mapping, lines): lines (order, part, supplier, quantity, day), most of them of part 1."""
+    r = random.Random(3)
+    lines = [(o, r.choice([1, 1, 1, 1, 2, 3, None]), r.choice([1, 2, 3, 4]), float(r.randint(1, 50)) if r.random() < 0.6 else None,
+              dt.datetime(1995, 1, 1) + dt.timedelta(days=r.randrange(200)) if o % 40 else None) for o in range(300)]
+    frames = {
+        "lineitem": spark.createDataFrame([(*x, 1, 2.0) for x in lines], "l_orderkey long, l_partkey long, l_suppkey long, "
+                                          "l_quantity double, l_shipdate timestamp_ntz, l_linenumber int, l_extendedprice double"),
+        "part": spark.createDataFrame([(1, 20), (2, None), (3, 30)], "p_partkey long, p_size int"),
+        "supplier": spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 1)], "s_suppkey long, s_nationkey int"),
+        "nation": spark.createDataFrame([(1, 0), (2, 1), (3, None)], "n_nationkey int, n_regionkey int")}
+    m = star.StarMapping(spark, "/none")
+    monkeypatch.setattr(m, "raw", frames.__getitem__)
+    return m, lines
+
+
+@pytest.mark.parametrize("hot", [0, 60, 10_000])
+def test_stock_log_of_hot_parts(spark, monkeypatch, hot):
+    """Parts over and under the limit, against a loop.  A null day comes first in a row's order and is no update;
+    the level is not known before a line of the month has a quantity."""
+    monkeypatch.setattr(star, "HOT_LINES", hot)
+    m, lines = small_star(spark, monkeypatch)
+    stock, want = {}, set()
+    region, threshold = {1: 0, 2: 1, 4: 0}, {1: 40, 2: None, 3: 60}
+    for o, p, s, q, day in sorted(lines, key=lambda x: (x[-1] or dt.datetime.min, x[0])):
+        if p is None or s not in region:
+            continue
+        k = p * 5 + region[s]
+        n, level, known = stock.get(k, (0, 0, None))
+        month = day and (day.year, day.month)
+        known = known if q is None else month
+        stock[k] = n + 1, level + int(q or 0), known
+        if n and day:
+            now = level + int(q or 0) if known == month else None
+            old = None if now is None or q is None else now - int(q)
+            want.add((n + 1, k, *(None if v is None else v % 97 for v in (old, now)), threshold[p], threshold[p]))
+    got = [tuple(x) for x in m.inventory_change().collect()]
+    assert len(got) == len(want) > 150 and set(got) == want
+
+
+def test_stock_log_is_dealt_once(spark, monkeypatch):
+    """The join deals the lines by part; only hot parts are dealt again, by stock row."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = small_star(spark, monkeypatch)[0].inventory_change()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    whole = plan[plan.index("Union"):plan.index("SortMergeJoin [inventory_id")]     # the branch before that of hot parts
+    assert "hashpartitioning(l_partkey" in whole and "hashpartitioning(inventory_id" not in whole
