@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from chainlens.schema import SCHEMAS
-from chainlens.session import checkpoint_root
+from chainlens.session import checkpoint_root, shuffles_removed
 from chainlens.sources.star import star_to_domain
 from chainlens.sources.tables import Tables, file_system
 
@@ -49,7 +49,9 @@ def published(spark: SparkSession, root: str, name: str, build) -> DataFrame:
     fs, final = file_system(spark, path)
     if not fs.exists(final):
         own = f"{root}/_{name}-{uuid.uuid4().hex}"
-        build().write.partitionBy(*PARTITIONED.get(name, [])).parquet(own)
+        table = build()
+        with shuffles_removed(spark):
+            table.write.partitionBy(*PARTITIONED.get(name, [])).parquet(own)
         mine = file_system(spark, own)[1]
         # renaming onto a folder that another session published meanwhile moves ours into it
         if fs.exists(final) or not fs.rename(mine, final):

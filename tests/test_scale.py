@@ -249,6 +249,29 @@ def test_chunks_of_a_hot_tenant(spark):
     assert sum(c.n_lines for c in got) == len(rows)
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_chunks_deal_the_lines_once_and_leave_no_shuffle(spark):
+    lines = spark.createDataFrame([(i % 3, 1, "s", i, "x" * (i % 50)) for i in range(600)],
+                                  "company_id long, section_order int, section string, line_key long, line string")
+    before = shuffle_files(spark)
+    chunks = context.document_chunks(lines, 200)
+    assert not shuffle_files(spark) - before
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_sums_of_slices_are_those_of_windows(spark):
+    rows = [(k, seq, None if v == 3 else v) for k, seq, v in keyed(2000)]
+    df = spark.createDataFrame(rows, "key long, seq long, v int").repartition(7)
+    want = slices.sum_before(slices.in_slices(df, "key", "seq"), "key", F.col("v"), "before")
+    got = slices.in_slices_summed(df, F.col("v"), "before", "key", "seq")
+    assert {r.seq: r.before for r in got.collect()} == {r.seq: r.before for r in want.collect()}
+
+
 def test_prompt_carries_its_context(spark, t):
     owners = spark.createDataFrame([(1, 2), (2, 99)], "conv_id long, company_id long")
     got = context.prompt_contents(t, owners, 80).orderBy("position", "part").collect()
